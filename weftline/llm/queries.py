@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, simhash
+from weftline.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(f):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query
