@@ -114,8 +114,8 @@ class Rolling:
             size = max(n + 1, 1 << 16)
             inverse = pow(self.BASE, -1, 1 << 64)
             with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.concatenate([[1], np.full(size, self.BASE, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-                self.inverses = np.cumprod(np.concatenate([[1], np.full(size, inverse, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+                self.powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, self.BASE, dtype=np.uint64)]))
+                self.inverses = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, inverse, dtype=np.uint64)]))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._upto(len(data))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, simhash
+from weftline.llm import bitplanes, decontam, packing, simhash, superkmer
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -21,6 +21,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.round_trip(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -30,3 +40,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.digests(_table(spark, sf_dir, "documents"))

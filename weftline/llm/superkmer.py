@@ -52,7 +52,7 @@ def _split(ids: list, sums: list, texts: list[bytes], window: int, minimiser: in
     runs = runs_of(mix(grams), valid, window - minimiser + 1)
     last = runs.first + runs.count + window - 2
     begin, size = s[runs.first], e[last] + 1 - s[runs.first]  # the blank after the last word travels too
-    sums_of_words = np.concatenate([[0], np.cumsum(words * _rolling.powers[:n])]).astype(np.uint64)
+    sums_of_words = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * _rolling.powers[:n])])
     whole = _rolling.of(sums_of_words, runs.first, last + 1)
     id_of, sum_of = np.array(ids, dtype=np.int64), np.array(sums, dtype=np.uint32)
     first_word = np.searchsorted(docs, np.arange(len(texts)))
