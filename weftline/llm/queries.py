@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bitplanes, decontam, packing, simhash, superkmer
+from weftline.llm import bitplanes, bwt, decontam, packing, simhash, superkmer
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -45,3 +45,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.digests(_table(spark, sf_dir, "documents")).drop("kept")
