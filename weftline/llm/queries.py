@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bitplanes, bwt, decontam, packing, simhash, superkmer
+from weftline.llm import bitplanes, bwt, decontam, isoforest, packing, simhash, superkmer
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -31,6 +31,11 @@ def op2_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_isoforest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isoforest.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
