@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D]. bytes.split() splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -109,7 +111,7 @@ class Rolling:
         self.table = np.random.default_rng(seed).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
-    def _upto(self, n: int) -> None:
+    def powers_upto(self, n: int) -> None:
         if len(self.powers) <= n:
             size = max(n + 1, 1 << 16)
             inverse = pow(self.BASE, -1, 1 << 64)
@@ -118,17 +120,53 @@ class Rolling:
                 self.inverses = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, inverse, dtype=np.uint64)]))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._upto(len(data))
+        self.powers_upto(len(data))
         out = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.table[data] * self.powers[: len(data)], out=out[1:])
         return out
 
     def of(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end], with the length mixed in."""
-        self._upto(len(prefix))
+        self.powers_upto(len(prefix))
         return mix((prefix[ends] - prefix[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+    def of_slices(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+        """Hashes of data[start:stop] for ascending starts, over about limit bytes at a time."""
+        out, lo = np.empty(len(starts), dtype=np.uint64), 0
+        while lo < len(starts):
+            base = int(starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(starts, base + limit)))
+            prefix = self.prefix(data[base : int(stops[lo:hi].max())])
+            out[lo:hi] = self.of(prefix, starts[lo:hi] - base, stops[lo:hi] - base)
+            lo = hi
+        return out
+
+
+def squeezed(df: DataFrame, text: str) -> DataFrame:
+    """df with its text column as zstandard frames, for a shuffle that has to carry whole texts; see unsqueeze()."""
+    schema = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType) for f in df.schema])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches, text, 1 << 23):
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if x is None else zstd.compress(x) for x in columns[at].cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def unsqueezed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the column from squeezed() as strings again."""
+    zstd = zstandard.ZstdDecompressor()
+    for batch in slices(batches, text, 1 << 22):
+        columns, at = list(batch.columns), batch.schema.get_field_index(text)
+        columns[at] = pa.array([None if x is None else zstd.decompress(x) for x in columns[at].to_pylist()], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def same_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each k, whether data[a:a+n] and data[b:b+n] hold the same bytes; in blocks of bounded memory."""
     out = np.ones(len(a), dtype=bool)

@@ -69,7 +69,7 @@ def owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.n
 
 def pack(records: np.ndarray, texts: bytes = b"") -> bytes:
     columns = b"".join(np.ascontiguousarray(records[n]).tobytes() for n in records.dtype.names)
-    return zstandard.compress(len(records).to_bytes(8, "little") + columns + texts, 1)
+    return zstandard.compress(len(records).to_bytes(8, "little") + columns + texts, 3)
 
 
 def unpack(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import IS_SPACE, Rolling, mix, partitions, ragged, same_slices, slices, texts_of
+from weftline.llm.common import IS_SPACE, Rolling, mix, partitions, ragged, same_slices, slices, squeezed, texts_of, unsqueezed
 from weftline.llm.minimisers import BLOBS, CUT, CUT_ROWS, CUTS, RUN, batch_of, by_bucket, covered, cut_batch, dealt, owners, pack, runs_of, unpack
 
 WINDOW, MINIMISER, SLICE = 13, 3, 1 << 22
@@ -47,7 +47,8 @@ def _split(ids: list, sums: list, texts: list[bytes], window: int, minimiser: in
     data = np.where(space, np.uint8(32), raw)[keep]
     moved = np.cumsum(keep) - 1
     s, e = moved[s], moved[e]
-    words = _rolling.of(_rolling.prefix(data), s, e)
+    words = _rolling.of_slices(data, s, e)
+    _rolling.powers_upto(n)
     grams = sum(words[k : n - minimiser + 1 + k] * np.uint64(0x9E3779B97F4A7C15 ** (k + 1) % (1 << 64)) for k in range(minimiser))
     runs = runs_of(mix(grams), valid, window - minimiser + 1)
     last = runs.first + runs.count + window - 2
@@ -85,7 +86,7 @@ def _count(blobs: list[bytes], window: int) -> np.ndarray:
     run = np.repeat(np.arange(len(records)), count)
     begin, end = s[at], e[at + window - 1]
     doc = records["doc"][run]
-    hashes = _rolling.of(_rolling.prefix(data), begin, end)
+    hashes = _rolling.of_slices(data, begin, end)
     order = np.argsort(hashes, kind="stable")
     new = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
     sizes = np.diff(np.concatenate([new, [len(order)]]))
@@ -118,7 +119,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     """(doc, sum, cuts): for documents with any, the word ranges [start, stop) covered by a window that also starts in a
     document with a smaller id. Ranges may overlap. sum is crc32 of the text, to tell rows that share an id apart.
     """
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -139,9 +140,9 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """docs with a column _cuts; null where nothing goes."""
+    """docs with a column _cuts, null where nothing goes; the text is squeezed."""
     found = repeated(docs, doc_id=doc_id, text=text, **options)
-    keyed = docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_sum": F.crc32(F.col(text))})
+    keyed = squeezed(docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_sum": F.crc32(F.col(text))}), text)
     return keyed.join(found.select(F.col("doc").alias("_doc"), F.col("sum").alias("_sum"), F.col("cuts").alias("_cuts")), ["_doc", "_sum"], "left").drop("_doc", "_sum")
 
 
@@ -166,7 +167,7 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 24):
+        for batch in unsqueezed(batches, "text"):
             out = []
             for text_, cuts in zip(texts_of(batch, "text"), batch.column(2).to_pylist()):
                 words, n = kept_words(text_, cuts)
@@ -187,7 +188,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 24):
+        for batch in unsqueezed(batches, text):
             texts, cuts = batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()
             new = [b" ".join(kept_words(x.encode(), c)[0]).decode() if c else x for x, c in zip(texts, cuts)]
             stay = [not c or bool(x) for x, c in zip(new, cuts)]
