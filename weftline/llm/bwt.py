@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Rolling, partitions, ragged, slices, texts_of
+from weftline.llm.common import Rolling, partitions, ragged, slices, squeezed, texts_of, unsqueezed
 from weftline.llm.minimisers import BLOBS, CUT, CUT_ROWS, CUTS, RUN, batch_of, by_bucket, covered, cut_batch, dealt, owners, pack, runs_of, unpack
 
 WINDOW, MINIMISER, SLICE, MEMORY, GROUP = 100, 24, 1 << 21, 1 << 26, 1 << 19
@@ -184,9 +184,7 @@ def _count(blobs: list[bytes], window: int, minimiser: int, memory: int, group_b
     grams = data[(starts + records["offset"])[:, None] + np.arange(minimiser)].view(f"S{minimiser}").ravel()
     _, kind, times = np.unique(grams, return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[kind] > 1)
-    prefix = _rolling.prefix(data)
-    hashes = _rolling.of(prefix, starts[several], starts[several] + sizes[several])
-    del prefix
+    hashes = _rolling.of_slices(data, starts[several], starts[several] + sizes[several])
     owner = several[owners(data, starts[several], sizes[several], hashes, docs[several], places[several])]
     gone = (docs[several] != docs[owner]) | (places[several] != places[owner])
     copies = several[gone]
@@ -229,7 +227,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     """(doc, sum, cuts): for documents with any, the byte ranges [start, stop) covered by a window that also starts
     earlier, in a document with a smaller id or further ahead in the same one. Ranges may overlap.
     """
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -269,10 +267,10 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc"), F.crc32(F.col(text)).alias("sum"))
-    marked = slim.join(repeated(slim.select("doc_id", "text"), **options), ["doc", "sum"], "left").select("doc_id", "text", "cuts")
+    marked = squeezed(slim, "text").join(repeated(slim.select("doc_id", "text"), **options), ["doc", "sum"], "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 24):
+        for batch in unsqueezed(batches, "text"):
             rows = []
             for x, cuts in zip(texts_of(batch, "text"), batch.column(2).to_pylist()):
                 kept, spans = kept_bytes(x, cuts)
