@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bitplanes, bwt, decontam, isoforest, packing, simhash, superkmer, toxicity, wordpiece
+from weftline.llm import bitplanes, bwt, decontam, hmm, isoforest, packing, simhash, superkmer, toxicity, wordpiece
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -52,6 +52,11 @@ def op6_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
