@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from weftline.plans import assignment, evidence, people
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (people, evidence, assignment):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
