@@ -79,7 +79,7 @@ def parse_pid(url: Column) -> Column:
 
 def split_ids(raw: Column) -> Column:
     """A delimited list by position: placeholders become empty, empty entries at the end go."""
-    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), r"[;,]\n|\n|;|,"), F.trim)
+    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), r"[;,]\n|\n|;|,"), lambda p: F.trim(p))
     parts = F.transform(parts, lambda p: F.when(F.lower(p).isin("", "-", "none", "n/a", "na", "null"), "").otherwise(p))
     last = F.array_max(F.transform(parts, lambda p, i: F.when(p != "", i + 1).otherwise(0)))
     return F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0)))
@@ -135,7 +135,7 @@ def one_tier(tags: Column, tiers: tuple[str, ...] = ("pc-full", "pc-light")) ->
 
 def collaborator_lines(text: Column) -> Column:
     """Lines 'Name (Institution)' as an array of (name, institution)."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.trim(F.regexp_replace(x, r"\s*\([^()]*\)\s*$", "")).alias("name"), F.regexp_extract(x, r"\(([^()]*)\)\s*$", 1).alias("institution")))
 
 

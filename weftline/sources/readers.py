@@ -12,13 +12,12 @@ from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from weftline.functions.text import is_false_like, normalise_doi, parse_pid, tag_names
 from weftline.operators.dedup import best_row
 
 PERSON = "struct<email:string,given_name:string,family_name:string,affiliation:string>"
-PAPERS = StructType.fromDDL(
+PAPERS = (
     f"pid int, title string, abstract string, topics array<string>, authors array<{PERSON}>, contacts array<{PERSON}>, pc_conflicts map<string,string>, "
     "status string, withdrawn boolean, submitted_at bigint, dblp string, reserve_reviewer string, tags array<string>"
 )
