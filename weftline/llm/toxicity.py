@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize, slices
 
 #: PRIOR: the prior's size as a share of all counts.
-FIT_ROWS, LEXICON, MIN_Z, PRIOR, THRESHOLD = 20_000, 20_000, 2.5, 0.02, 0.3
+FIT_ROWS, LEXICON, MIN_Z, PRIOR, THRESHOLD = 20_000, 20_000, 2.0, 0.05, 0.3
 #: Scores are whole quarters of a nat; DRIFT is what each word costs.
 UNIT, DRIFT, LOW, HIGH = 4, 2, -12, 40
 PREFIXES = (8, 7, 6, 5, 4)
