@@ -70,3 +70,28 @@ def op9_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digests(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def _seed_sql(table: str, key: str) -> str:
+    places = lambda offsets: " || ' ' || ".join(f"w[p + {o}]" for o in offsets)
+    return " union all ".join(f"select {key}, w, p, {k} m, {m[-1] + 1} span, {places(m)} seed from {table} where p + {m[-1]} <= len(w)" for k, m in enumerate(decontam.MASKS))
+
+
+_WORDS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLES["op8_decontamination"] = f"""
+with d as (select doc_id, unnest(range(1, len(w) + 1)) p, w from (select distinct doc_id, {_WORDS_SQL} w from documents where doc_id is not null)),
+i as (select item_id, unnest(range(1, len(w) + 1)) p, w from (select distinct item_id, {_WORDS_SQL} w from benchmark where item_id is not null)),
+ds as ({_seed_sql("d", "doc_id")}), bs as ({_seed_sql("i", "item_id")}),
+h as (select distinct doc_id, item_id, ds.w dw, bs.w iw, ds.p - bs.p g, bs.p ip, bs.span, least({decontam.WINDOW}, len(bs.w)) n from ds join bs on ds.m = bs.m and ds.seed = bs.seed),
+s as (select *, unnest(range(greatest(1, 1 - g, ip + span - n), least(least(len(iw), len(dw) - g) - n + 1, ip) + 1)) s from h),
+a as (select doc_id, item_id, n, s, s + g q, len(list_filter(range(s, s + n), lambda k: iw[k] = dw[k + g])) agree from s)
+select doc_id, item_id, agree matched_words, n window_words, q - 1 doc_start, s - 1 item_start from (
+  select *, row_number() over (partition by doc_id, item_id order by agree desc, q, s) rn from a where agree >= ceil({decontam.SIMILARITY} * n - 1e-9)) where rn = 1"""
+ORACLES["op9_superkmer"] = rf"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+k as (select doc_id, p, array_to_string(w[p:p + {superkmer.WINDOW - 1}], ' ') s from (select doc_id, w, unnest(range(1, len(w) - {superkmer.WINDOW - 2})) p from d)),
+f as (select s, min(doc_id) first from k group by 1),
+c as (select distinct doc_id, unnest(range(p, p + {superkmer.WINDOW})) pos from k join f using (s) where first < doc_id),
+a as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) pos from d),
+r as (select doc_id, count(*) n, string_agg(word, ' ' order by pos) kept from a anti join c using (doc_id, pos) group by 1)
+select doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join r using (doc_id)"""
