@@ -24,8 +24,16 @@ def local_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSes
     return builder.config(map=settings | conf).getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder in spark.checkpoint.dir; only where that is unset, as in tests, a new one."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="weftline-"))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package (a few small source files), once for each Spark application."""
+    checkpoint_dir(spark)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
