@@ -12,20 +12,26 @@ from weftline.llm.common import new_path
 from weftline.session import ship
 
 
+def _ready(spark: SparkSession) -> SparkSession:
+    """Whole texts go through Arrow here: batches of fewer rows than Spark's 10,000 keep the stages' buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return ship(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the forest reject go."""
-    return isoforest.keep_good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return isoforest.keep_good(docs, _ready(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by near-equal fingerprints, the document with the smallest id stays."""
-    ship(spark)
+    _ready(spark)
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 13-word windows that also start in a document with a smaller id go; so do documents left without words."""
-    ship(spark)
+    _ready(spark)
     return superkmer.without_repeats(docs)
 
 
@@ -36,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of sequences of 1024 ids."""
-    ship(spark)
+    _ready(spark)
     return packing.pack(docs)
 
 

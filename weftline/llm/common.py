@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +59,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy() -> None:
+    """Give freed memory back: a Python worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -65,6 +74,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text in each stays near limit bytes; a longer document makes a batch of its own."""
+    tidy()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
                 start, total = i, 0
             total += size
         yield batch.slice(start)
+    tidy()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

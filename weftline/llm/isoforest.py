@@ -125,7 +125,7 @@ def rule_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 24):
+        for batch in slices(batches, "text", 1 << 22):
             counts = np.array([statistics(x) for x in texts_of(batch, "text")], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T)], names=["doc_id", *COUNTS])
 
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     model = fit(materialize(rule_statistics(docs, doc_id, text), "stats"), labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 24):
+        for batch in slices(batches, text, 1 << 22):
             counts = np.array([statistics(x) for x in texts_of(batch, text)], dtype=np.int64)
             yield batch.filter(pa.array(model.judge(counts)[2]))
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from weftline.llm.common import mix, ragged, same_slices
+from weftline.llm.common import mix, ragged, same_slices, tidy
 
 #: One run of windows each: owner's id, check sum of its text, first symbol in the document, bytes, minimiser's offset.
 RUN = np.dtype([("doc", "<i8"), ("sum", "<u4"), ("start", "<u4"), ("size", "<u4"), ("offset", "<u4")])
@@ -112,6 +112,7 @@ def covered(n: int, starts: np.ndarray, stops: np.ndarray, breaks: np.ndarray) -
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
     """From rows sorted by bucket, the blobs of runs and of cuts of one bucket after another."""
+    tidy()
     now, found = None, ([], [])
     for batch in batches:
         for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
@@ -122,6 +123,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
             found[kind].append(blob)
     if found[0] or found[1]:
         yield found
+    tidy()
 
 
 def cut_batch(cuts: np.ndarray) -> pa.RecordBatch:
