@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -62,14 +63,15 @@ class Encoder:
         """(ids of all texts in a row, how many each has); null is empty, and every text ends in the end id."""
         if len(self.units) > CACHE_UNITS:
             self._clear()
-        cut = [_UNITS.findall(x) if x else [] for x in texts]
+        cut: list[list[str | None]] = [_UNITS.findall(x) if x else [] for x in texts]
+        for x in cut:
+            x.append(None)
         fresh = set().union(*cut).difference(self.units)
         if fresh:
             self._add(sorted(fresh))
-        units = self.units
-        at = np.fromiter((units[u] for x in cut for u in (*x, None)), dtype=np.int64, count=sum(map(len, cut)) + len(cut))
+        ends = np.cumsum([len(x) for x in cut])
+        at = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(ends[-1]) if len(cut) else 0)
         sizes = self.size[at]
-        ends = np.cumsum([len(x) + 1 for x in cut])
         counts = np.diff(np.concatenate([[0], np.cumsum(sizes)[ends - 1]])) if len(cut) else np.zeros(0, dtype=np.int64)
         return self.flat[ragged(self.start[at], sizes)], counts
 
