@@ -29,10 +29,7 @@ from weftline.llm.common import materialize, release, slices, squeezed, texts_of
 
 STATES, FREQUENT, TAILS, ROUNDS, SPAN, GROUP_DOCS, SEED = 8, 2000, 512, 8, 256, 2048, 42
 END, SMOOTH = "", 0.1  # no word is empty
-
-
-def words_of(text: bytes) -> list[str]:
-    return [w.decode() for w in text.lower().split()]
+STRETCHES, ROWS = 512, 2048  # stretches, or documents, that go through the recursions side by side
 
 
 def training(doc_id: Column) -> Column:
@@ -40,18 +37,18 @@ def training(doc_id: Column) -> Column:
 
 
 class Classes(dict):
-    """Word -> class id, remembered up to a bound; 0 is the end, then the frequent words, then the tails."""
+    """Word (as bytes) -> class id, remembered up to a bound; 0 is the end, then the frequent words, then the tails."""
 
     def __init__(self, frequent: list[str], tails: int) -> None:
-        self.fixed = {END: 0} | {w: k + 1 for k, w in enumerate(frequent)}
+        self.fixed = {END.encode(): 0} | {w.encode(): k + 1 for k, w in enumerate(frequent)}
         self.tails, self.size = tails, 1 + len(frequent) + tails
         super().__init__(self.fixed)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
             self.update(self.fixed)
-        self[word] = k = len(self.fixed) + zlib.crc32(word[-3:].encode()) % self.tails
+        self[word] = k = len(self.fixed) + zlib.crc32(word.decode()[-3:].encode()) % self.tails
         return k
 
 
@@ -100,31 +97,43 @@ def forward(chain: Chain, rows: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(chain: Chain, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions over rows of class ids (none of them empty)."""
+    """Expected counts of starts, moves and emissions over rows of class ids (none of them empty).
+
+    The recursions run in single precision, scaled at each step, in buffers that are used again; sums are double.
+    """
     k, classes = chain.emit.shape
     _, sizes, seen = _padded(rows)
-    b, length = seen.shape
+    length = seen.shape[1]
     active = np.searchsorted(-sizes, -np.arange(1, length + 1), side="right")
-    emit = np.ascontiguousarray(chain.emit.T)[seen]
-    alpha, scale = np.zeros((length, b, k)), np.ones((length, b))
+    columns = np.ascontiguousarray(seen.T)
+    emit = np.ascontiguousarray(chain.emit.T, dtype=np.float32)[columns]
+    start, ahead, ones = chain.start.astype(np.float32), chain.move.astype(np.float32), np.ones((k, 1), dtype=np.float32)
+    back = np.ascontiguousarray(ahead.T)
+    state, scale = np.zeros_like(emit), np.ones((*columns.shape, 1), dtype=np.float32)
     for t in range(length):
         n = active[t]
-        a = (alpha[t - 1, :n] @ chain.move if t else chain.start) * emit[:n, t]
-        scale[t, :n] = a.sum(axis=1)
-        alpha[t, :n] = a / scale[t, :n, None]
-    gamma = np.zeros((length, b, k))
-    beta, move = np.ones((b, k)), np.zeros((k, k))
+        now, size = state[t, :n], scale[t, :n]
+        if t:
+            np.matmul(state[t - 1, :n], ahead, out=now)
+            now *= emit[t, :n]
+        else:
+            np.multiply(emit[t, :n], start, out=now)
+        np.matmul(now, ones, out=size)
+        now /= size
+    beta, move = np.ones((len(rows), k), dtype=np.float32), np.zeros((k, k))
     for t in range(length - 1, -1, -1):
         n = active[t]
-        gamma[t, :n] = alpha[t, :n] * beta[:n]
+        later = emit[t, :n]
+        if t:
+            later *= beta[:n]
+            later /= scale[t, :n]
+            move += state[t - 1, :n].T @ later
+        state[t, :n] *= beta[:n]  # from here on the states' shares at t
         if t:
-            ahead = emit[:n, t] * beta[:n] / scale[t, :n, None]
-            move += alpha[t - 1, :n].T @ ahead
-            beta[:n] = ahead @ chain.move.T
-    where = np.arange(length)[:, None] < sizes[None, :]
-    flat = seen.T[where]
-    emitted = np.stack([np.bincount(flat, weights=gamma[..., s][where], minlength=classes) for s in range(k)])
-    return gamma[0].sum(axis=0), move * chain.move, emitted
+            np.matmul(later, back, out=beta[:n])
+    inside = np.arange(length)[:, None] < sizes[None, :]
+    flat, weights = columns[inside], state[inside].T.astype(np.float64)
+    return state[0].sum(axis=0, dtype=np.float64), move * chain.move, np.stack([np.bincount(flat, weights=w, minlength=classes) for w in weights])
 
 
 def _round(encoded: DataFrame, chain: Chain, span: int, share: np.ndarray) -> Chain:
@@ -138,8 +147,9 @@ def _round(encoded: DataFrame, chain: Chain, span: int, share: np.ndarray) -> Ch
             for x in batch.column(0).to_pylist():
                 ids = np.frombuffer(x, dtype="<u2")
                 rows += [ids[a : a + span] for a in range(0, len(ids), span)]
-            for a in range(0, len(rows), 512):
-                total += np.concatenate([x.ravel() for x in expected(chain, rows[a : a + 512])])
+            rows.sort(key=len)  # rows of like length side by side leave little padding
+            for a in range(0, len(rows), STRETCHES):
+                total += np.concatenate([x.ravel() for x in expected(chain, rows[a : a + STRETCHES])])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["at", "value"])
 
@@ -190,7 +200,7 @@ def scored(
     fixed = known.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in (END, *top)], "word string")), "word").collect()
     class_n, class_v = np.zeros(classes.size), np.zeros(classes.size)
     for r in fixed:
-        class_n[classes[r.word]], class_v[classes[r.word]] = r.c, 1
+        class_n[classes[r.word.encode()]], class_v[classes[r.word.encode()]] = r.c, 1
     for r in tail:
         class_n[1 + len(top) + r.k], class_v[1 + len(top) + r.k] = r.n, r.v
     n, v = float(class_n.sum()), float(class_v.sum())
@@ -198,7 +208,7 @@ def scored(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 23):
-            rows = [np.array([classes[w] for w in (*words_of(x), END)], dtype="<u2").tobytes() for x in texts_of(batch, "text")]
+            rows = [np.array([classes[w] for w in (*x.lower().split(), b"")], dtype="<u2").tobytes() for x in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     encoded = materialize(slim.where("trains").select("text").mapInArrow(encode, "ids binary"), "classes")
@@ -209,8 +219,8 @@ def scored(
     base_of, class_of = math.log10(n + SMOOTH * (v + 1)), np.log10(class_n + SMOOTH * (class_v + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.column("word").to_pylist()
-        index = {w.encode(): i for i, w in enumerate(words)}
+        words = right.column("word").cast(pa.binary()).to_pylist()
+        index = {w: i for i, w in enumerate(words)}
         c = right.column("c").to_numpy().astype(np.float64)
         kind = np.array([classes[w] for w in words], dtype=np.int64)
         seen = np.log10(c + SMOOTH)
@@ -218,7 +228,7 @@ def scored(
         end, out = index[b""], []
         for batch in unsqueezed(iter(left.select(["doc_id", "text", "trains"]).to_batches()), "text"):
             rows = [np.array([*map(index.__getitem__, x.lower().split()), end]) for x in texts_of(batch, "text")]
-            chains = np.concatenate([forward(chain, [kind[r] for r in rows[a : a + 1024]]) for a in range(0, len(rows), 1024)]) / math.log(10)
+            chains = np.concatenate([forward(chain, [kind[r] for r in rows[a : a + ROWS]]) for a in range(0, len(rows), ROWS)]) / math.log(10)
             base = [float(seen[r].sum() - len(r) * base_of) for r in rows]
             total = [float(x + inside[r].sum()) for x, r in zip(chains, rows)]
             held = pa.array([not t and d is not None for t, d in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist())])
