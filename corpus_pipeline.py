@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, isoforest, packing, simhash, superkmer
+from weftline.llm import decontam, isoforest, jaccard, packing, superkmer
 from weftline.llm.common import new_path
 from weftline.session import ship
 
@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by near-equal fingerprints, the document with the smallest id stays."""
+    """Of each group linked by 5-word Jaccard similarities of 0.8 or more, the document with the smallest id stays."""
     _ready(spark)
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("benchmark decontamination", decontamination),
     ("packing", packed),
