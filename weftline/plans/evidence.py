@@ -124,7 +124,7 @@ def coauthor_conflicts(t):
     name = lambda k, n: F.array_sort(F.slice(F.array(*[F.concat(F.lit("tok"), x.cast("string")) for x in (k % 50, k % 7 + 50, k % 11 + 60)]), F.lit(1), n))
     k, q = F.col("s_suppkey"), F.col("p_partkey")
     index = t("supplier").select(k.alias("person_id"), name(k, F.lit(3)).alias("tokens"), F.lit("").alias("number"), (k % 9 + 1).alias("shared"), F.lit(2000).alias("latest_year"), F.lit("w").alias("latest_title"))
-    authors = t("part").where("p_partkey % 4 = 0").select(q.alias("paper_id"), q.cast("string").alias("author"), name(q, (q % 2 + 2).cast("int")).alias("tokens"), F.array().cast("array<string>").alias("numbers"))
+    authors = t("part").select(q.alias("paper_id"), q.cast("string").alias("author"), name(q, (q % 2 + 2).cast("int")).alias("tokens"), F.array().cast("array<string>").alias("numbers"))
     return conflicts.coauthor_conflicts(authors, index).select("paper_id", "person_id", "match", "shared")
 
 
@@ -136,7 +136,7 @@ def collaborator_conflicts(t):
     name = lambda x: F.array(F.lit("aa"), F.concat(F.lit("n"), x.cast("string")))
     k, q = F.col("s_suppkey"), F.col("p_partkey")
     people = t("supplier").select(k.alias("person_id"), name(k % 40).alias("tokens"), F.array(name(k % 30)).alias("declared"), F.array((k % 60).cast("string")).alias("institutions"))
-    authors = t("part").where("p_partkey % 3 = 0").select(q.alias("paper_id"), q.alias("author"), name(q % 40).alias("tokens"), F.array(name(q % 35)).alias("declared"), F.array((q % 80).cast("string")).alias("institutions"))
+    authors = t("part").select(q.alias("paper_id"), q.alias("author"), name(q % 40).alias("tokens"), F.array(name(q % 35)).alias("declared"), F.array((q % 80).cast("string")).alias("institutions"))
     return conflicts.collaborator_conflicts(people, authors).select("paper_id", "person_id", "kind")
 
 
