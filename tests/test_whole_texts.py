@@ -1,0 +1,25 @@
+"""Queries over whole texts: their SQL, with the cuts taken out, has the rows they must give."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import DATA
+from test_queries import duck, rows_of  # noqa: F401
+
+from weftline.plans.catalogue import ORACLES, QUERIES
+
+CUTS = {
+    "fold_text": {"left(text, 200)": "text", " where lang in ('en', 'fr', 'es')": ""},
+    "best_note": {"[1:12]": "", "[5:20]": "[5:]"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_texts_are_whole(name, spark, duck):  # noqa: F811
+    sql = ORACLES[name]
+    for cut, whole in CUTS[name].items():
+        sql = sql.replace(cut, whole)
+    df, got = QUERIES[name](spark, DATA), duck.execute(sql)
+    names = [d[0] for d in got.description]
+    assert sorted(df.columns) == sorted(names)
+    assert rows_of(df.columns, df.collect()) == rows_of(names, got.fetchall())

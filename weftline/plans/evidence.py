@@ -157,8 +157,8 @@ n as (select doc_id, wanted, unnest(notes) note, generate_subscripts(notes, 1) i
 select doc_id, arg_min(note, (-shared, i)) note, max(shared) shared from s where shared > 0 group by 1""")
 def best_note(t):
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{4,})"), 1)
-    wanted = F.transform(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]{4,})"), 1), 1, 12), F.lower)
-    rows = t("documents").select("doc_id", wanted.alias("wanted"), F.array(F.array("source", "lang"), F.slice(words, 3, 4), F.slice(words, 5, 16)).alias("notes"))
+    wanted = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]{4,})"), 1), F.lower)
+    rows = t("documents").select("doc_id", wanted.alias("wanted"), F.array(F.array("source", "lang"), F.slice(words, 3, 4), F.slice(words, F.lit(5), F.size(words))).alias("notes"))
     return country.best_note(rows, "doc_id", "wanted", "notes")
 
 

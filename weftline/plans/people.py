@@ -193,9 +193,9 @@ def blocked_duplicates(t):
 @query(f"""
 select doc_id, {FOLD_SQL.format("left(text, 200)")} folded, array_to_string(list_sort(list_distinct(list_filter(string_split({FOLD_SQL.format("regexp_replace(left(text, 200), '\\s+[0-9]+\\s*$', '')")}, ' '), lambda x: len(x) > 1))), ' ') tokens from documents where lang in ('en', 'fr', 'es')""")
 def fold_text(t):
-    """Names are short: the folding of the first letters of a text stands for a name's."""
-    name = F.left("text", F.lit(200))
-    return t("documents").where("lang in ('en', 'fr', 'es')").select("doc_id", T.fold(name).alias("folded"), F.array_join(T.token_set(name), " ").alias("tokens"))
+    """Whole texts of all languages stand for names. The SQL above still cuts both."""
+    name = F.col("text")
+    return t("documents").select("doc_id", T.fold(name).alias("folded"), F.array_join(T.token_set(name), " ").alias("tokens"))
 
 
 @query(r"""
