@@ -13,6 +13,7 @@ from itertools import product
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from weftline.llm import bitplanes, bwt, decontam, hmm, isoforest, minimisers, packing, simhash, superkmer, toxicity, wordpiece
 from weftline.llm.bpe import encoder, public_path
@@ -166,6 +167,29 @@ def test_cuts_are_optimal():
         assert sum(window - (b - a) for a, b in zip([0, *cuts], cuts)) + sum(c for a, c in zip(at, cost) if a in cuts) == best
 
 
+def test_cuts_in_chunks_cost_what_those_of_the_whole_stream_do(monkeypatch):
+    monkeypatch.setattr(packing, "AHEAD", 8)
+    rng, total = random.Random(2), [0, 0]
+    for _ in range(30):
+        sizes = [rng.randint(1, 60) for _ in range(600)]
+        sentence = np.arange(50) % 7 == 0
+        ids = np.array([rng.randrange(50) for _ in range(sum(sizes))], dtype="<u4")
+        price = dict(zip(*(x.tolist() for x in packing.candidates(sentence[ids], np.cumsum(sizes), len(ids)))))
+        for which, chunk in enumerate((len(sizes), 150)):
+            stream, fill, lo = packing._Stream(64, sentence, 0), Counter(), 0
+            for k in range(0, len(sizes), chunk):
+                n = np.array(sizes[k : k + chunk])
+                stream.add(list(range(k, k + len(n))), ids[lo : lo + n.sum()], n)
+                lo += n.sum()
+                for x in stream.pieces(last=k + chunk >= len(sizes)):
+                    for s, n_ids in zip(x["sequence_id"].tolist(), x["length"].tolist()):
+                        fill[s] += n_ids
+            assert sum(fill.values()) == len(ids) and max(fill.values()) <= 64
+            cuts = np.cumsum([fill[s] for s in sorted(fill)]).tolist()
+            total[which] += sum(64 - x for x in fill.values()) + sum(price[c] for c in cuts)
+    assert total[0] <= total[1] <= 1.05 * total[0]
+
+
 def test_planes_round_trip(docs, rows, spark):
     for n, bits in ((0, 8), (1, 1), (1000, 1), (777, 8)):
         ids = np.random.default_rng(n).integers(0, 2**32 if n == 777 else 50000, n).astype("<u4")

@@ -4,12 +4,14 @@ The documents' ids in doc_id order are one stream. A cut may fall at a document'
 penalty) or, where a sentence is longer than ``stride`` ids, at every ``stride``-th id of it (a larger one). With f(j)
 the least cost up to cut j, f(j) = penalty(j) + window - c(j) + min(f(i) + c(i)) over the cuts i at most a window
 before; a monotone queue gives each minimum in constant time. Each range partition is one stream, worked through in
-chunks of bounded size: the last, unfinished sequence of a chunk is carried into the next.
+chunks of bounded size: of a chunk's best cuts those that lie AHEAD windows or more before its end are final, and the
+rest is carried into the next chunk, so that no chunk's end is forced to be a cut.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm.bpe import encoder, public_path
 from weftline.llm.common import partitions, slices
 
-WINDOW, STRIDE, CHUNK = 1024, 8, 1 << 20
+WINDOW, STRIDE, CHUNK, AHEAD = 1024, 8, 1 << 20, 64
 #: What a cut costs, in ids of padding.
 DOCUMENT, SENTENCE, INSIDE = 0, 1, 4
 
@@ -44,8 +46,11 @@ def candidates(sentence: np.ndarray, ends: np.ndarray, n: int, stride: int = STR
     return at, cost[at]
 
 
-def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
-    """The cuts of least total padding plus cost, as ascending places; the last of at is always one."""
+def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW, last: bool = True) -> list[int]:
+    """The cuts of least total padding plus cost, as ascending places; the last of at is always one.
+
+    last=False: more places follow, so the cuts up to the cheapest one that a later window can start from.
+    """
     places, costs = [0, *at.tolist()], [0, *cost.tolist()]
     value, parent = [0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])
@@ -60,6 +65,8 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[in
             queue.pop()
         queue.append(j)
     out, j = [], len(places) - 1
+    if not last:
+        j = min(queue, key=lambda j: value[j] - places[j])  # f(j)
     while j:
         out.append(places[j])
         j = parent[j]
@@ -82,9 +89,9 @@ class _Stream:
         if not n:
             return
         ends = np.cumsum(self.counts) - self.skip
-        cuts = best_cuts(*candidates(self.sentence[self.ids], ends, n), self.window)
+        cuts = best_cuts(*candidates(self.sentence[self.ids], ends, n), self.window, last)
         if not last:
-            cuts = cuts[:-1]
+            cuts = cuts[: bisect_right(cuts, n - AHEAD * self.window)]
         stop = cuts[-1] if cuts else 0
         if stop:
             bounds = np.unique(np.concatenate([[0], cuts, ends[ends < stop]]))
