@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, isoforest, jaccard, packing, superkmer
+from weftline.llm import decontam, isoforest, packing, simhash, superkmer
 from weftline.llm.common import new_path
 from weftline.session import ship
 
 
 def _ready(spark: SparkSession) -> SparkSession:
-    """Whole texts go through Arrow here: batches of fewer rows than Spark's 10,000 keep the stages' buffers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Whole texts go through Arrow here: batches smaller than Spark's 10,000 rows and 64 MB keep the stages' buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return ship(spark)
 
 
@@ -26,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word Jaccard similarities of 0.8 or more, the document with the smallest id stays."""
     _ready(spark)
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from typing import BinaryIO
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import encoder, public_path
-from weftline.llm.common import new_path, partitions, slices
+from weftline.llm.common import integer_id, new_path, partitions, slices, tidied
 
 MAGIC, BLOCK = b"WEFTPLN1", 1 << 16
 
@@ -148,10 +149,13 @@ def write_ids(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
 
     Returns a row per file: part, path, n_docs, n_ids. Each attempt of a task writes a file of its own, and only files
     named in the result count, so a lost or repeated task does no harm. Rows with a null id are not written; a null
-    text is empty; rows that share an id follow each other in the order of their texts.
+    text is empty; rows that share an id follow each other in the order of their texts. Ids that are not whole numbers
+    are refused.
     """
+    integer_id(docs, doc_id)
     path = tokenizer or public_path()
 
+    @partial(tidied, keep=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, out = encoder(path), TaskContext.get().partitionId(), None
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.planes"
@@ -180,6 +184,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     starts = np.concatenate([[0], np.cumsum([r.n_ids for r in listed])]).astype(int).tolist()
     table = spark.createDataFrame([(r.path, s) for r, s in zip(listed, starts)], "path string, base long")
 
+    @partial(tidied, keep=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

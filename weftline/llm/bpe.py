@@ -18,7 +18,7 @@ from itertools import chain, groupby
 import numpy as np
 import pyarrow as pa
 
-from weftline.llm.common import ragged
+from weftline.llm.common import memories, ragged
 
 #: Unicode white space, and what of it is not ASCII.
 _FAR_WS = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -199,4 +199,5 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+        memories.append(_loaded.clear)
     return _loaded[path]

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Rolling, partitions, ragged, slices, squeezed, texts_of, unsqueezed
+from weftline.llm.common import Rolling, integer_id, looked_up, materialize, partitions, ragged, slices, texts_of, tidied
 from weftline.llm.minimisers import BLOBS, CUT, CUT_ROWS, CUTS, RUN, batch_of, by_bucket, covered, cut_batch, dealt, owners, pack, runs_of, unpack
 
-WINDOW, MINIMISER, SLICE, MEMORY, GROUP = 100, 24, 1 << 21, 1 << 26, 1 << 19
+WINDOW, MINIMISER, SLICE, MEMORY, GROUP, BUCKETS = 100, 24, 1 << 21, 1 << 26, 1 << 19, 4
 END = 255  # not a byte of UTF-8; stands for a symbol that is not known yet or does not exist
 _rolling = Rolling(11)
 
@@ -227,14 +227,17 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     """(doc, sum, cuts): for documents with any, the byte ranges [start, stop) covered by a window that also starts
     earlier, in a document with a smaller id or further ahead in the same one. Ranges may overlap.
     """
-    buckets = 2 * partitions(docs.sparkSession)
+    integer_id(docs, doc_id)
+    buckets = BUCKETS * partitions(docs.sparkSession)
 
+    @tidied
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             rows = _split(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch, "text"), window, minimiser, buckets)
             if rows:
                 yield batch_of(rows)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, cuts in by_bucket(batches):
             for blob in cuts:
@@ -263,14 +266,17 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
     """For every row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     Null and empty texts have no bytes. A row with a null id loses nothing and takes nothing from others. Of rows that
-    repeat an id and a text, none counts as earlier. An empty table gives no rows; other columns are ignored.
+    repeat an id and a text, none counts as earlier. An empty table gives no rows; other columns are ignored. Ids that
+    are not whole numbers are refused.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc"), F.crc32(F.col(text)).alias("sum"))
-    marked = squeezed(slim, "text").join(repeated(slim.select("doc_id", "text"), **options), ["doc", "sum"], "left").select("doc_id", "text", "cuts")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = materialize(repeated(slim, **options), "cuts")
+    marked = looked_up(slim, found, {"doc": F.col("doc_id").cast("long"), "sum": F.crc32("text")}, "text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unsqueezed(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows = []
             for x, cuts in zip(texts_of(batch, "text"), batch.column(2).to_pylist()):
                 kept, spans = kept_bytes(x, cuts)

@@ -6,14 +6,17 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegralType, StringType, StructField, StructType
 
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D]. bytes.split() splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -55,17 +58,73 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def integer_id(df: DataFrame, doc_id: str) -> None:
+    """Refuse ids that are not whole numbers, whose order decides."""
+    if not isinstance(df.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be of an integer type, not {df.schema[doc_id].dataType.simpleString()}")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, lengthened until it is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+FILTER_BITS, PAGE = 1 << 24, 1 << 15  # a filter's bits in all, and in a row of its aggregation
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadcast:
+    """A bitmap of bits / 8 bytes, however many keys there are, in which every key's bit is set; see has_bit().
+
+    It spares what certainly has none of the keys a shuffle; what has a key's bit is still joined with the keys.
+    """
+    place = F.pmod(F.col(column), F.lit(bits))
+    pages = keys.groupBy(F.floor(place / PAGE).alias("page")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(PAGE))).alias("set")).collect()  # at most bits / PAGE rows of PAGE / 8 bytes
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in pages:
+        out[r.page * PAGE // 8 : (r.page + 1) * PAGE // 8] = np.frombuffer(r.set, dtype=np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys' bits are set in the table of bit_filter()."""
+    place = keys % (8 * len(table))
+    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def tidy() -> None:
-    """Give freed memory back: a Python worker lives on after its task, beside those of the next stage."""
+#: What a Python worker remembers from task to task, as functions that forget it.
+memories: list[Callable[[], None]] = []
+
+
+def tidy(keep: bool = False) -> None:
+    """Give memory back: a Python worker lives on after its task, beside those of the next stage. keep: but not memories."""
+    if not keep:
+        for forget in memories:
+            forget()
+        memories.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with what it has used given back when it ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep)
+        yield from run(batches)
+        tidy(keep)
+
+    return wrapped
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -74,7 +133,6 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text in each stays near limit bytes; a longer document makes a batch of its own."""
-    tidy()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -87,7 +145,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
                 start, total = i, 0
             total += size
         yield batch.slice(start)
-    tidy()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -155,10 +212,11 @@ class Rolling:
 
 
 def squeezed(df: DataFrame, text: str) -> DataFrame:
-    """df with its text column as zstandard frames, for a shuffle that has to carry whole texts; see unsqueeze()."""
+    """df with its text column as zstandard frames, for a shuffle that has to carry whole texts; see unsqueezed()."""
     schema = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType) for f in df.schema])
     at = df.columns.index(text)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, text, 1 << 23):
@@ -169,13 +227,50 @@ def squeezed(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def unsqueezed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches with the column from squeezed() as strings again."""
-    zstd = zstandard.ZstdDecompressor()
-    for batch in slices(batches, text, 1 << 22):
-        columns, at = list(batch.columns), batch.schema.get_field_index(text)
-        columns[at] = pa.array([None if x is None else zstd.decompress(x) for x in columns[at].to_pylist()], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+def unsqueezed(df: DataFrame, text: str) -> DataFrame:
+    """df with the column from squeezed() as strings again."""
+    schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in df.schema])
+    at = df.columns.index(text)
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdDecompressor()
+        for batch in slices(batches, text, 1 << 22):
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if x is None else zstd.decompress(x) for x in columns[at].to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def sifted(df: DataFrame, key: str, bits: Broadcast, maybe: bool) -> DataFrame:
+    """The rows of df whose long column key has its bit set (maybe), or has not; see bit_filter()."""
+    at = df.columns.index(key)
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits.value, batch.column(at).to_numpy()) == maybe))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def looked_up(df: DataFrame, found: DataFrame, on: dict[str, Column], text: str) -> DataFrame:
+    """df left joined with found, which has a row at most for each key and columns of other names than df's.
+
+    on: found's key columns, and what they equal. Rows whose keys found certainly has not do not travel; the others do
+    with their text squeezed.
+    """
+    names, rest = df.columns, [c for c in found.columns if c not in on]
+    own: dict[str, str] = {}
+    for c in on:
+        own[c] = free_name([*names, *found.columns, *own.values()], f"_{c}")
+    key = free_name([*names, *found.columns, *own.values()], "_key")
+    keyed = df.withColumns({own[c]: x for c, x in on.items()}).withColumn(key, F.xxhash64(*own.values()))
+    bits = bit_filter(found.select(F.xxhash64(*on).alias("key")), "key")
+    sure = sifted(keyed, key, bits, False).select(*(F.col(f"`{c}`") for c in names), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in rest))
+    unsure = squeezed(sifted(keyed, key, bits, True), text).join(found.withColumnsRenamed(own), list(own.values()), "left")
+    return sure.unionByName(unsqueezed(unsure.select(*(F.col(f"`{c}`") for c in names), *rest), text))
 
 
 def same_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, release, slices, squeezed, texts_of, unsqueezed
+from weftline.llm.common import materialize, release, slices, squeezed, texts_of, tidied, unsqueezed
 
 STATES, FREQUENT, TAILS, ROUNDS, SPAN, GROUP_DOCS, SEED = 8, 2000, 512, 8, 256, 2048, 42
 END, SMOOTH = "", 0.1  # no word is empty
@@ -140,6 +140,7 @@ def _round(encoded: DataFrame, chain: Chain, span: int, share: np.ndarray) -> Ch
     """One round of Baum-Welch over all rows of encoded class ids."""
     k, classes = chain.emit.shape
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k + k * classes)
         for batch in batches:
@@ -175,6 +176,7 @@ def scored(
     group = F.coalesce(F.floor(ids.cast("long") / group_docs), -1 - F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 16)))
     slim = docs.select(ids.alias("doc_id"), F.col(text).alias("text"), F.coalesce(training(ids), F.lit(False)).alias("trains"), group.cast("long").alias("grp"))
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 25):
             by: dict[int, tuple[Counter, set]] = {}
@@ -206,6 +208,7 @@ def scored(
     n, v = float(class_n.sum()), float(class_v.sum())
     share = (class_n + SMOOTH) / (n + SMOOTH * classes.size)
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 23):
             rows = [np.array([classes[w] for w in (*x.lower().split(), b"")], dtype="<u2").tobytes() for x in texts_of(batch, "text")]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, slices, texts_of
+from weftline.llm.common import materialize, slices, texts_of, tidied
 
 TREES, TREE_ROWS, FIT_ROWS, MAX_FALSE, BINS, SEED = 100, 256, 25_600, 0.002, 10_000, 42
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -124,6 +124,7 @@ def rule_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id and COUNTS for every row."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 22):
             counts = np.array([statistics(x) for x in texts_of(batch, "text")], dtype=np.int64)
@@ -145,6 +146,7 @@ class Model(NamedTuple):
 def _scored(stats: DataFrame, model: Model) -> DataFrame:
     id_type = stats.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.stack([batch.column(k + 1).to_numpy() for k in range(len(COUNTS))], axis=1)
@@ -188,6 +190,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     """The rows of docs that judged() keeps, with all their columns; the text is read twice and never shuffled."""
     model = fit(materialize(rule_statistics(docs, doc_id, text), "stats"), labels, **options)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 1 << 22):
             counts = np.array([statistics(x) for x in texts_of(batch, text)], dtype=np.int64)

@@ -1,13 +1,17 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of ``share`` or more, all of them verified.
 
-A text is the set of its shingles' 64-bit hashes. All sets are put in one total order (frequent shingles last, then by
-hash). Two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each, so only these
-prefixes are brought together by a sort, and no pair is missed whatever the order. Pairs are counted over all shared
-prefix shingles: the prefix that ends first lies wholly within what the other one shows, so a pair with too few
-matches in it cannot reach s. What is left is verified on the whole sets. Sets that are equal travel as one.
+The near-dedup stage's second half: SimHash gives its links as candidates (simhash.keep_one), and prefix filtering
+completes them, as 64 bits do not tell a similarity of 0.8. A text is the set of its shingles' 64-bit hashes. All sets
+are put in one total order (frequent shingles last, then by hash). Two sets of similarity s or more share one of the
+first n - ceil(s n) + 1 shingles of each, so only these prefixes travel, as packed records to their shingles' buckets,
+and no pair is missed whatever the order. Pairs are counted over all shared prefix shingles: the prefix that ends first
+lies wholly within what the other one shows, so a pair with too few matches in it cannot reach s.
 
-Which shingles are frequent comes from a sample and bears on the cost alone. A family of m near copies costs m * m
-pairs in each bucket that its members share.
+A shingle that more than ``SMALL`` sets show does not make all their pairs. First only sets next to each other by size
+are paired and verified, with SimHash's candidates; then the pairs of sets that are not in one component yet. So a
+family of m near copies costs some m pairs, and no link between components is lost.
+
+Which shingles are frequent comes from a sample and bears on the cost alone.
 """
 
 from __future__ import annotations
@@ -17,25 +21,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, ragged, release, slices, texts_of
+from weftline.llm.common import bit_filter, has_bit, materialize, mix, partitions, ragged, release, slices, texts_of, tidied
 from weftline.llm.components import components
+from weftline.llm.minimisers import pack, unpack
 
 SHINGLE, SHARE, SEED = 5, 0.8, 42
-SAMPLE, OFTEN, FREQUENT = 8, 4, 250_000
-PAIRS, SEEN = 1 << 20, 1 << 20
+SAMPLE, OFTEN, FREQUENT = 32, 3, 250_000
+PAIRS, SEEN, SMALL = 1 << 20, 1 << 18, 16
+#: One shingle of a prefix: its hash, its set's signature and size.
+SHOWN = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4")])
+PAIR, NEXT, MEMBER = 0, 1, 2
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Ascending distinct XXH64 of the shingles; a text of fewer words is one shingle, no words are none."""
-    words = text.lower().split()  # as in simhash.fingerprint
+def hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the shingles in their order; fewer words are one shingle, no words none."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    n = min(shingle, len(words))
-    return np.unique(np.array([digest(x, SEED) for x in map(b" ".join, zip(*(words[k:] for k in range(n))))], dtype=np.uint64))
+    digest, n = xxhash.xxh64_intdigest, min(shingle, len(words))
+    return np.array([digest(x, SEED) for x in map(b" ".join, zip(*(words[k:] for k in range(n))))], dtype=np.uint64)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Ascending distinct hashes of the lower-cased text's shingles."""
+    return np.unique(hashes(text.lower().split(), shingle))  # bytes: only A-Z are lowered, only ASCII white space splits
 
 
 def signature(found: np.ndarray) -> int:
@@ -70,21 +82,10 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[list[tupl
             yield out
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, sig) for every row."""
-    id_type = docs.schema[doc_id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 22):
-            sigs = [signature(shingles(x, shingle)) for x in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64())], names=["doc_id", "sig"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, sig long")
-
-
 def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
     """Ascending shingles that many texts of a sample hold."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _sets(batches, shingle):
             keys, n = np.unique(np.concatenate([x for _, x in sets]), return_counts=True)
@@ -96,102 +97,221 @@ def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(got.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _pairs(key: np.ndarray, sig: np.ndarray, n: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """All pairs within each run of equal keys whose sizes allow the share, about PAIRS at a time."""
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-    key, sig, n = key[new], sig[new], n[new]
-    later = np.searchsorted(key, key, side="right") - np.arange(len(key)) - 1
+def _fit(a: np.ndarray, b: np.ndarray, n: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of places (a, b) whose sizes allow the share."""
+    fits = np.minimum(n[a], n[b]) >= need(n[a], n[b], share)
+    return a[fits], b[fits]
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and their lengths."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return starts, np.diff(np.concatenate([starts, [len(key)]]))
+
+
+def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of all pairs within each run, about PAIRS at a time."""
+    at = ragged(starts, sizes)
+    later = np.repeat(starts + sizes, sizes) - at - 1
     ends, lo = np.cumsum(later), 0
-    while lo < len(key):
+    while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-        left = np.repeat(np.arange(lo, hi), later[lo:hi])
-        right = ragged(np.arange(lo, hi) + 1, later[lo:hi])
-        fits = np.minimum(n[left], n[right]) >= need(n[left], n[right], share)
-        left, right = left[fits], right[fits]
-        if len(left):
-            yield sig[left], sig[right], n[left], n[right]
+        yield np.repeat(at[lo:hi], later[lo:hi]), ragged(at[lo:hi] + 1, later[lo:hi])
         lo = hi
 
 
-def links(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """(a, b): the signatures of all pairs of different sets whose Jaccard similarity is share or more."""
-    if not 0 < share <= 1:
-        raise ValueError("share must be above 0 and at most 1")
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    frequent = _frequent(texts, shingle)
+def _counted(kind: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sig: np.ndarray, n: np.ndarray, share: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of places as rows (kind, a, b, na, nb, c), a below b; c is how often the pair occurs here."""
+    for left, right in pairs:
+        left, right = _fit(left, right, n, share)
+        if len(left):
+            swap = sig[left] > sig[right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            order = np.lexsort((sig[right], sig[left]))
+            a, b = sig[left][order], sig[right][order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            c = np.diff(np.concatenate([first, [len(a)]]))
+            yield _rows(kind, a[first], b[first], n[left][order][first], n[right][order][first], c)
+
+
+PAIR_ROWS = "kind int, a long, b long, na int, nb int, c long"
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    columns = np.full(len(a), kind, dtype=np.int32), a, b, na.astype(np.int32), nb.astype(np.int32), c.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "na", "nb", "c"])
+
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(shown: np.ndarray, share: float) -> Iterator[pa.RecordBatch]:
+    """What the prefix shingles of one bucket say; a MEMBER row has the shingle as a and the set as b."""
+    shown = shown[np.lexsort((shown["sig"], shown["n"], shown["key"]))]
+    key, sig, n = shown["key"], shown["sig"], shown["n"].astype(np.int64)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
+    key, sig, n = key[new], sig[new], n[new]
+    starts, sizes = _runs(key)
+    few = (sizes > 1) & (sizes <= SMALL)
+    yield from _counted(PAIR, _all_pairs(starts[few], sizes[few]), sig, n, share)
+    many = sizes > SMALL
+    if many.any():
+        at = ragged(starts[many], sizes[many])
+        for step in (1, 2):
+            left = ragged(starts[many], sizes[many] - step)
+            yield from _counted(NEXT, iter([(left, left + step)]), sig, n, share)
+        yield _rows(MEMBER, key[at].view(np.int64), sig[at], n[at], n[at], np.ones(len(at)))
+
+
+def prefixes_met(texts: DataFrame, *, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+    """PAIR_ROWS of all buckets."""
+    frequent, buckets = _frequent(texts, shingle), 2 * partitions(texts.sparkSession)
+
+    @tidied
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _sets(batches, shingle):
             keys = []
             for _, found in sets:
                 last = np.isin(found, frequent, assume_unique=True) if len(frequent) else np.zeros(len(found), dtype=bool)
                 keys.append(np.concatenate([found[~last], found[last]])[: int(prefix(np.int64(len(found)), share))])
             sizes = [len(x) for x in keys]
-            columns = np.concatenate(keys).view(np.int64), np.repeat(np.array([s for s, _ in sets], dtype=np.int64), sizes), np.repeat(np.array([len(x) for _, x in sets], dtype=np.int32), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "sig", "n"])
-
+            shown = np.empty(sum(sizes), dtype=SHOWN)
+            shown["key"], shown["sig"], shown["n"] = np.concatenate(keys), np.repeat(np.array([s for s, _ in sets], dtype=np.int64), sizes), np.repeat([len(x) for _, x in sets], sizes)
+            bucket = (mix(shown["key"]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            shown, (starts, n) = shown[order], _runs(bucket[order])
+            blobs = [pack(shown[a : a + k]) for a, k in zip(starts.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    @tidied
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 3
-        for batch in _and_none(batches):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                held = [np.concatenate([x, batch.column(k).to_numpy().astype(np.int64)]) for k, x in enumerate(held)]
-            cut = int(np.searchsorted(held[0], held[0][-1], side="left")) if batch is not None else len(held[0])
-            if not cut:
-                continue
-            for a, b, na, nb in _pairs(*(x[:cut] for x in held), share):
-                both, at, c = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_counts=True)
-                columns = both[:, 0], both[:, 1], na[at], nb[at], c.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["a", "b", "na", "nb", "c"])
-            held = [x[cut:] for x in held]
-
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            a, b, na, nb, c = (x.to_numpy() for x in batch.columns)
-            o = need(na, nb, share)
-            fits = c >= np.minimum(o - na + prefix(na, share), o - nb + prefix(nb, share))
-            yield pa.RecordBatch.from_arrays([pa.array(a[fits]), pa.array(b[fits])], names=["a", "b"])
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now and held:
+                    yield from _met(np.concatenate(held), share)
+                    held = []
+                now = bucket
+                held.append(unpack(blob, SHOWN)[0])
+        if held:
+            yield from _met(np.concatenate(held), share)
+
+    packed = texts.mapInArrow(show, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(meet, PAIR_ROWS)
 
+
+def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, *, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+    """Those of the pairs (a, b) of signatures whose sets reach the share. texts: (text, row); rows: (row, sig)."""
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "named")
+    bits = bit_filter(rows.join(named, "sig").groupBy("sig").agg(F.min("row").alias("row")), "row")  # one text of each set
+
+    @tidied
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sets], pa.int64()), pa.array([x.tobytes() for _, x in sets], pa.binary())], names=["sig", "found"])
+        """Each set as its text, which is smaller than the set when squeezed."""
+        zstd = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            some = batch.filter(pa.array(has_bit(bits.value, batch.column("row").to_numpy())))
+            for part in slices(iter([some]), "text", 1 << 22):
+                texts = texts_of(part, "text")
+                sigs = [signature(shingles(x, shingle)) for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([zstd.compress(x) for x in texts], pa.binary())], names=["sig", "squeezed"])
+
+    @tidied
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, sets = zstandard.ZstdDecompressor(), {}
+
+        def found(sig: int, x: bytes) -> np.ndarray:
+            if len(sets) > 64 and sig not in sets:
+                sets.pop(next(iter(sets)))
+            if sig not in sets:
+                sets[sig] = shingles(zstd.decompress(x), shingle)
+            return sets[sig]
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = found(a, x), found(b, y)
                 fits.append(len(np.intersect1d(x, y, assume_unique=True)) >= need(np.int64(len(x)), np.int64(len(y)), share))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    placed = texts.mapInArrow(prefixes, "key long, sig long, n int").repartition("key").sortWithinPartitions("key", "sig")
-    met = placed.mapInArrow(meet, "a long, b long, na long, nb long, c long")
-    counted = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    likely = materialize(counted.mapInArrow(enough, "a long, b long"), "likely")
-    named = likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = materialize(texts.mapInArrow(whole, "sig long, found binary").join(named, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-    left = sets.select(F.col("sig").alias("a"), F.col("found").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("found").alias("y"))
-    out = materialize(likely.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "near")
-    release(likely)
+    sets = materialize(texts.mapInArrow(whole, "sig long, squeezed binary").join(named, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    left = sets.select(F.col("sig").alias("a"), F.col("squeezed").alias("x"))
+    right = sets.select(F.col("sig").alias("b"), F.col("squeezed").alias("y"))
+    out = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    release(named)
     release(sets)
     return out
 
 
-def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches, and None as the sign that no more come."""
-    yield from batches
-    yield None
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """Of each group linked by similarity share or more, the document with the smallest id; rows with a null id go.
+def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, *, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+    """(a, b): verified links whose transitive closure is that of all pairs of different sets that reach the share.
 
-    Texts without words are copies of each other. Of rows that repeat one id, one stays.
+    texts: (text, row), row being a long that tells rows apart; rows: (row, sig) with signature() of the text.
+    candidates: pairs (a, b) of signatures to verify first.
     """
-    rows = materialize(signatures(docs, doc_id, text, shingle), "sigs")
-    roots = components(links(docs, text=text, shingle=shingle, share=share))
-    named = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
-    kept = named.groupBy("root").agg(F.min("doc_id").alias("_kept_id")).select("_kept_id")
-    return docs.join(kept, docs[doc_id] == kept["_kept_id"], "left_semi").dropDuplicates([doc_id])
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    @tidied
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, c = (x.to_numpy() for x in batch.columns)
+            o = need(na, nb, share)
+            fits = c >= np.minimum(o - na + prefix(na, share), o - nb + prefix(nb, share))
+            yield pa.RecordBatch.from_arrays([pa.array(a[fits]), pa.array(b[fits])], names=["a", "b"])
+
+    def likely_of(met: DataFrame) -> DataFrame:
+        """Pairs with as many matches as the share asks for."""
+        counted = met.groupBy("a", "b").agg(F.first("na").cast("long").alias("na"), F.first("nb").cast("long").alias("nb"), F.sum("c").alias("c"))
+        return counted.mapInArrow(enough, "a long, b long")
+
+    met = materialize(prefixes_met(texts.select("text"), shingle=shingle, share=share), "met")
+    beside = met.where(F.col("kind") == NEXT).select("a", "b").distinct()
+    beside = likely_of(met.where(F.col("kind") == NEXT).unionByName(met.where(F.col("kind") == PAIR).join(beside, ["a", "b"], "left_semi")))
+    first = beside.unionByName(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    first = materialize(first.where("a <> b").distinct(), "first")
+    near = verified(first, texts, rows, shingle=shingle, share=share)
+    release(first)
+    roots = materialize(components(near), "roots")
+
+    @tidied
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of members of one shingle that have different roots, about PAIRS at a time; rows come sorted by shingle and root."""
+        for key, root, sig, n in _whole_runs(batches):
+            starts, sizes = _runs(key)
+            stops = np.repeat(starts + sizes, sizes)
+            firsts, count = _runs(key if not len(key) else np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])])))
+            ahead = np.repeat(firsts + count, count)  # the next root's first place
+            later = stops - ahead
+            ends, lo = np.cumsum(later), 0
+            while lo < len(key):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+                pairs = np.repeat(np.arange(lo, hi), later[lo:hi]), ragged(ahead[lo:hi], later[lo:hi])
+                yield from _counted(PAIR, iter([pairs]), sig, n, share)
+                lo = hi
+
+    by_root = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sig"), F.col("na").cast("long").alias("n"))
+    members = materialize(by_root.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", F.coalesce("root", "sig").alias("root"), "sig", "n"), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    by_root = members.join(mixed, "key", "left_semi")  # a shingle of one component has no pair to find
+    crossing = by_root.repartition("key").sortWithinPartitions("key", "root").mapInArrow(across, PAIR_ROWS)
+    likely = likely_of(met.where(F.col("kind") == PAIR).unionByName(crossing))
+    for end in "ab":
+        likely = likely.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    likely = materialize(likely.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"), "likely")
+    more = verified(likely, texts, rows, shingle=shingle, share=share)
+    for done in (met, roots, members, likely):
+        release(done)
+    return near.unionByName(more)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first one, in pieces that never part a run of it."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
+        if cut or held and held[0][0][0] != now[0][0]:
+            yield [np.concatenate([*(h[k] for h in held), x[:cut]]) for k, x in enumerate(now)]
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from weftline.llm.common import mix, ragged, same_slices, tidy
+from weftline.llm.common import mix, ragged, same_slices
 
 #: One run of windows each: owner's id, check sum of its text, first symbol in the document, bytes, minimiser's offset.
 RUN = np.dtype([("doc", "<i8"), ("sum", "<u4"), ("start", "<u4"), ("size", "<u4"), ("offset", "<u4")])
@@ -91,10 +91,13 @@ def dealt(keys: np.ndarray, records: np.ndarray, data: np.ndarray, starts: np.nd
     """The runs as one blob for each bucket that has any."""
     bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    text = data[ragged(starts[order], records["size"][order])].tobytes()
-    ends = np.concatenate([[0], np.cumsum(records["size"][order], dtype=np.int64)])
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-    return [(int(bucket[order[a]]), RUNS, pack(records[order[a:b]], text[ends[a] : ends[b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            some = order[a:b]
+            out.append((int(bucket[some[0]]), RUNS, pack(records[some], data[ragged(starts[some], records["size"][some])].tobytes())))
+    return out
 
 
 def covered(n: int, starts: np.ndarray, stops: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +115,6 @@ def covered(n: int, starts: np.ndarray, stops: np.ndarray, breaks: np.ndarray) -
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
     """From rows sorted by bucket, the blobs of runs and of cuts of one bucket after another."""
-    tidy()
     now, found = None, ([], [])
     for batch in batches:
         for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
@@ -123,7 +125,6 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
             found[kind].append(blob)
     if found[0] or found[1]:
         yield found
-    tidy()
 
 
 def cut_batch(cuts: np.ndarray) -> pa.RecordBatch:

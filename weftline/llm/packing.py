@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import encoder, public_path
-from weftline.llm.common import partitions, slices
+from weftline.llm.common import partitions, slices, tidied
 
 WINDOW, STRIDE, CHUNK, AHEAD = 1024, 8, 1 << 20, 64
 #: What a cut costs, in ids of padding.
@@ -124,6 +125,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
     id_type = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+    @partial(tidied, keep=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         stream = _Stream(window, bpe.sentence_ends(), TaskContext.get().partitionId() << 33)

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, release, slices, texts_of
+from weftline.llm import jaccard
+from weftline.llm.common import bit_filter, free_name, materialize, release, sifted, slices, texts_of, tidied
 from weftline.llm.components import components
 
 SHINGLE, SEED, BUCKET_ROWS = 3, 42, 4096
@@ -33,11 +34,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return 0
     if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, SEED) for x in map(b" ".join, zip(*(words[k:] for k in range(shingle))))], dtype=">u8")
+    return majority(jaccard.hashes(words, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in more than half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes[lo : lo + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
@@ -45,6 +49,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 22):
             fps = np.array([fingerprint(x, shingle) for x in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
@@ -115,6 +120,7 @@ def links(prints: DataFrame, *, bits: int = 2, bucket_rows: int = BUCKET_ROWS) -
     masked = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, v % 32)")))
     variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select((F.col("v").cast("long") * (1 << 32) + masked).alias("key"), "fp")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp in _runs(batches):
             found, hot = _links(key, fp, bits, bucket_rows)
@@ -158,10 +164,64 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is their component's, one row each, with all their columns; rows with a null id go.
+def _described(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, sig, fp) of (row, text): the set of shingles' signature (jaccard.signature) and the fingerprint."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 22):
+            found = [jaccard.hashes(x.lower().split(), shingle) for x in texts_of(batch, "text")]
+            sigs = [jaccard.signature(np.unique(x)) for x in found]
+            fps = np.array([majority(x) for x in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64()), pa.array(fps)], names=["row", "sig", "fp"])
 
-    Of rows that repeat one id, one stays.
+    return texts.select("row", "text").mapInArrow(run, "row long, sig long, fp long")
+
+
+def near_links(texts: DataFrame, rows: DataFrame, *, shingle: int = jaccard.SHINGLE, share: float = jaccard.SHARE, bits: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b): links between signatures of sets of shingles whose Jaccard similarity is share or more.
+
+    The fingerprints' links are the first candidates; as 64 bits do not tell such a similarity, prefix filtering finds
+    what they miss. All links are verified on the whole sets.
+    """
+    prints = materialize(rows.groupBy("fp").agg(F.min("sig").alias("least")), "distinct")
+    same = rows.select("fp", "sig").distinct().join(prints, "fp").where("sig <> least").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    found = links(prints.select("fp"), bits=bits, bucket_rows=bucket_rows)
+    for end in "ab":
+        found = found.join(prints.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_sig")), end)
+    candidates = materialize(found.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).unionByName(same), "candidates")
+    out = jaccard.links(texts, rows, candidates, shingle=shingle, share=share)
+    release(prints)
+    release(candidates)
+    return out
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near copies (near_links(), sets of equal shingles included), with all its columns: the one
+    with the smallest doc_id, of several the one whose text has the smallest hash; a null id counts as the largest.
+
+    Texts without words are copies of each other; a text of fewer words than a shingle is one shingle. Of rows that
+    repeat id and text, one stays. A row of its own group stays, whatever its id. An empty table gives no rows.
     """
-    kept = near_duplicates(docs, doc_id=doc_id, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_kept_id"], "left_semi").dropDuplicates([doc_id])
+    name, mark = free_name(docs.columns, "_row"), free_name(docs.columns, "_stays")
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    texts = docs.select(key.alias("row"), F.col(text).cast("string").alias("text"))
+    ids = docs.select(key.alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("sum")).groupBy("row").agg(F.min("id").alias("id"), F.min("sum").alias("sum"), F.count("*").alias("times"))
+    rows = materialize(_described(texts, options.get("shingle", jaccard.SHINGLE)), "rows")
+    near = near_links(texts, rows, **options)
+    roots = components(near)
+    release(near)
+    groups = rows.select("row", "sig").distinct().join(roots, rows["sig"] == roots["node"], "left").select("row", F.coalesce("root", "sig").alias("root"))
+    order = F.struct(F.col("id").isNull(), "id", "sum", "row")
+    placed = materialize(groups.join(ids, "row").select("row", "root", "times", order.alias("order")), "placed")
+    best = placed.groupBy("root").agg(F.min("order").alias("best"))
+    fate = placed.join(best, "root").select("row", "times", (F.col("order") == F.col("best")).alias("stays")).where("not stays or times > 1")
+    fate = materialize(fate.select("row", "stays"), "fate")
+    release(rows)
+    release(placed)
+    bits, keyed = bit_filter(fate, "row"), docs.withColumn(name, key)
+    sure = sifted(keyed, name, bits, False).drop(name)  # these need no shuffle
+    unsure = sifted(keyed, name, bits, True).join(fate.select(F.col("row").alias(name), F.col("stays").alias(mark)), name, "left")
+    others = unsure.where(F.col(mark).isNull()).drop(name, mark)
+    repeats = unsure.where(F.col(mark)).dropDuplicates([name]).drop(name, mark)
+    return sure.unionByName(others).unionByName(repeats)

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import IS_SPACE, Rolling, mix, partitions, ragged, same_slices, slices, squeezed, texts_of, unsqueezed
+from weftline.llm.common import IS_SPACE, Rolling, free_name, integer_id, looked_up, materialize, mix, partitions, ragged, same_slices, slices, texts_of, tidied
 from weftline.llm.minimisers import BLOBS, CUT, CUT_ROWS, CUTS, RUN, batch_of, by_bucket, covered, cut_batch, dealt, owners, pack, runs_of, unpack
 
-WINDOW, MINIMISER, SLICE = 13, 3, 1 << 22
+WINDOW, MINIMISER, SLICE, BUCKETS = 13, 3, 1 << 21, 4  # buckets a shuffle partition
 _rolling = Rolling()
 
 
@@ -119,14 +119,17 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     """(doc, sum, cuts): for documents with any, the word ranges [start, stop) covered by a window that also starts in a
     document with a smaller id. Ranges may overlap. sum is crc32 of the text, to tell rows that share an id apart.
     """
-    buckets = 2 * partitions(docs.sparkSession)
+    integer_id(docs, doc_id)
+    buckets = BUCKETS * partitions(docs.sparkSession)
 
+    @tidied
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             rows = _split(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch, "text"), window, minimiser, buckets)
             if rows:
                 yield batch_of(rows)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, cuts in by_bucket(batches):
             for blob in cuts:
@@ -139,11 +142,10 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     return packed.mapInArrow(count, CUT_ROWS).groupBy("doc", "sum").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """docs with a column _cuts, null where nothing goes; the text is squeezed."""
-    found = repeated(docs, doc_id=doc_id, text=text, **options)
-    keyed = squeezed(docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_sum": F.crc32(F.col(text))}), text)
-    return keyed.join(found.select(F.col("doc").alias("_doc"), F.col("sum").alias("_sum"), F.col("cuts").alias("_cuts")), ["_doc", "_sum"], "left").drop("_doc", "_sum")
+def _marked(docs: DataFrame, doc_id: str, text: str, cuts: str, **options) -> DataFrame:
+    """docs with a column cuts, null where nothing goes. Documents that lose nothing are not shuffled."""
+    found = materialize(repeated(docs, doc_id=doc_id, text=text, **options), "cuts").withColumnRenamed("cuts", cuts)
+    return looked_up(docs, found, {"doc": F.col(doc_id).cast("long"), "sum": F.crc32(F.col(text))}, text)
 
 
 def kept_words(text: bytes, cuts: list[dict] | None) -> tuple[list[bytes], int]:
@@ -162,12 +164,14 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
     """For every row of docs: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space.
 
     Null and empty texts have no words. A row with a null id loses nothing and takes nothing from others. Rows that
-    share an id never take words from each other. An empty table gives no rows; other columns are ignored.
+    share an id never take words from each other. An empty table gives no rows; other columns are ignored. Ids that are
+    not whole numbers are refused.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unsqueezed(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             out = []
             for text_, cuts in zip(texts_of(batch, "text"), batch.column(2).to_pylist()):
                 words, n = kept_words(text_, cuts)
@@ -176,19 +180,21 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return _marked(slim, "doc_id", "text", **options).select("doc_id", "text", "_cuts").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    return _marked(slim, "doc_id", "text", "cuts", **options).mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """docs without the repeated words, with all their columns. Where words go, the rest are joined by one space and
-    n_chars counts anew; a text from which nothing goes is left as it is; a row left with no word goes.
+    n_chars counts anew; a text from which nothing goes is left as it is, null or empty ones too; a row left with no word
+    goes. An empty table gives no rows.
     """
-    marked = _marked(docs, doc_id, text, **options)
+    marked = _marked(docs, doc_id, text, free_name(docs.columns, "_cuts"), **options)
     schema = docs.schema
     names = schema.names
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unsqueezed(batches, text):
+        for batch in slices(batches, text, SLICE):
             texts, cuts = batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()
             new = [b" ".join(kept_words(x.encode(), c)[0]).decode() if c else x for x, c in zip(texts, cuts)]
             stay = [not c or bool(x) for x, c in zip(new, cuts)]
@@ -199,4 +205,4 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 columns[names.index(n_chars)] = pa.array(sizes, columns[names.index(n_chars)].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
-    return marked.select(*[F.col(f"`{c}`") for c in names], "_cuts").mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)

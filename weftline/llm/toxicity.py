@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, slices
+from weftline.llm.common import materialize, slices, tidied
 
 #: PRIOR: the prior's size as a share of all counts.
 FIT_ROWS, LEXICON, MIN_Z, PRIOR, THRESHOLD = 20_000, 20_000, 2.0, 0.05, 0.3
@@ -89,6 +89,7 @@ def fit_lexicon(docs: DataFrame, marks: DataFrame, *, fit_rows: int = FIT_ROWS,
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded by fit_rows
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies count once
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 23):
             bad, good = Counter(), Counter()
@@ -112,6 +113,7 @@ def fit_lexicon(docs: DataFrame, marks: DataFrame, *, fit_rows: int = FIT_ROWS,
 def scan(docs: DataFrame, lexicon: dict[str, int], id_type: str) -> DataFrame:
     """Per document: doc_id, n_words, n_segments, best (score), best_start, best_stop (words), and times (words by score)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(lexicon)
         for batch in slices(batches, "text", 1 << 23):

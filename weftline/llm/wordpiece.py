@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import public_path
-from weftline.llm.common import slices, texts_of
+from weftline.llm.common import slices, texts_of, tidied
 
 CACHE_WORDS = 500_000
 _loaded: dict[str, "Automaton"] = {}
@@ -112,6 +112,7 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     id_type = docs.schema[doc_id].dataType.simpleString()
     names = ["n_words", "n_pieces", "n_unknown", "longest"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _counts(path)
         for batch in slices(batches, "text", 1 << 23):
