@@ -417,23 +417,59 @@ def test_chain_against_all_paths():
         assert abs(math.log(total) - likelihood) < 1e-9
         start, move, emit = start + s / total, move + m / total, emit + e / total
     got = hmm.expected(chain, rows)
-    assert np.allclose(got[0], start) and np.allclose(got[1], move) and np.allclose(got[2], emit)
+    assert np.allclose(got[0], start, rtol=1e-4) and np.allclose(got[1], move, rtol=1e-4) and np.allclose(got[2], emit, rtol=1e-4)
+    assert np.allclose(got[3], hmm.forward(chain, rows).sum(), rtol=1e-5)
 
 
-def test_language_model(docs, rows, spark):
-    got = {r.doc_id: r for r in hmm.scored(docs, states=3, frequent=20, tails=8, rounds=3, group_docs=7).collect()}
-    counts, tokens = Counter(), {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
+def test_probabilities_of_all_texts_of_a_length_sum_to_one():
+    """Over every sequence of classes that ends in the end and has no other end, with the chance of going on."""
+    rng = np.random.default_rng(1)
+    k, c = 2, 3
+    chain = hmm.Chain(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k))
+    for n in (1, 2, 4):
+        assert abs(np.exp(hmm.forward(chain, [np.array(x) for x in product(range(c), repeat=n)])).sum() - 1) < 1e-9
+
+
+def slow_likelihood(chain, row):
+    alpha = chain.start * chain.emit[:, row[0]]
+    total = 0.0
+    for x in row[1:]:
+        total += math.log10(alpha.sum())
+        alpha = (alpha / alpha.sum()) @ chain.move * chain.emit[:, x]
+    return total + math.log10(alpha.sum())
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 22, 2000])
+def test_language_model(docs, rows, spark, monkeypatch, slice_bytes):
+    chains, once = [], hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda *a: chains.append(once(*a)) or chains[-1])
+    got = {r.doc_id: r for r in hmm.scored(docs, states=3, frequent=20, tails=8, rounds=3, gain=-1.0, slice_bytes=slice_bytes).collect()}
+    counts, tokens = Counter(), {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 10:
             counts.update(w)
     n, v = sum(counts.values()), len(counts)
+    top = [b"", *sorted(counts.keys() - {b""}, key=lambda w: (-counts[w], w))[:20]]
+    kind = lambda w: top.index(w) if w in top else 21 + hmm.tail_of(w, 8)
+    class_n, class_v = Counter(), Counter()
+    for w, c in counts.items():
+        class_n[kind(w)] += c
+        class_v[kind(w)] += 1
+    assert len(chains) == 3 and chains[0][1] < chains[1][1] < chains[2][1]  # Baum-Welch climbs
     for i, w in tokens.items():
         base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        inside = sum(math.log10((counts[x] + 0.1) / (class_n[kind(x)] + 0.1 * (class_v[kind(x)] + 1))) for x in w)
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 10 == 0)
-        assert abs(r.base_score - base) < 1e-6 * len(w) and r.score < 0
+        assert abs(r.base_score - base) < 1e-6 * len(w)
+        assert abs(r.score - inside - slow_likelihood(chains[-1][0], [kind(x) for x in w])) < 1e-6 * len(w)
+
+
+def test_language_model_edges(docs, rows, spark):
     assert hmm.scored(empty(docs), rounds=1).count() == 0
     assert hmm.scored(with_nulls(spark, docs), rounds=1).count() == len(rows) + 2
+    named = {r.doc_id: r.n_tokens for r in hmm.scored(docs.selectExpr("concat('d', doc_id) doc_id", "text"), rounds=1).collect()}
+    assert named == {f"d{i}": len((t or "").encode().split()) + 1 for i, t in rows}
 
 
 # --- 8 decontamination ---

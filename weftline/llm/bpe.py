@@ -30,7 +30,7 @@ _UNITS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _JOINED = re.compile(rf" ?[^{_WS}]+")
 #: Bytes: white space; letters; marks that never share a piece with a letter before them.
 _SPACE, _LETTER, _MARK = (np.isin(np.arange(256), np.frombuffer(x, dtype=np.uint8)) for x in (b"\t\n\x0b\x0c\r ", bytes(range(65, 91)) + bytes(range(97, 123)), b".,;:!?|"))
-END_ID, CACHE_UNITS, JOIN = 0, 800_000, 1000
+END_ID, CACHE_UNITS, JOIN = 0, 400_000, 1000
 _loaded: dict[str, "Encoder"] = {}
 
 
