@@ -46,7 +46,57 @@ def test_names():
     assert identity.compare_names(["ann", "lee"], ["ann", "may", "lee"])[1] == "variant"
     assert identity.compare_names(["christopher", "lee"], ["kristopher", "lee"]) == (1, "similar")
     assert identity.compare_names(["ann"], ["bob"]) == (0, "none")
-    assert identity.spellings_of_one_name(["jansen", "eva"], ["jansan", "eva"])
+    assert identity.compare_names("jon smithson".split(), "jon lee smithsen".split()) == (2, "variant")
+    assert identity.compare_names(["fredericson"], ["frederickson"]) == (1, "similar")
+    assert identity.compare_names(["lee"], ["ann", "lee"]) == (0, "none")
+    assert identity.compare_names("xin chen".split(), "xin cen".split()) == (0, "none")
+    assert identity.compare_names("kristopher smithson".split(), "christopher smithsen".split()) == (0, "none")
+    assert identity.respelt(["jansen", "eva"], ["jansan", "eva"])
+    assert not identity.respelt(["jansen", "jansun", "eva"], ["jansan", "otto", "eva"])  # one partner for two
+
+
+def test_confidence_of_pairs(spark):
+    cases = [
+        ((3, True, False, False, False, False), "high"), ((0, True, False, True, False, False), "review"), ((3, False, True, True, True, True), "low"), ((0, False, True, False, False, False), None),
+        ((3, False, False, False, False, True), "high"), ((3, False, False, False, False, False), "medium"), ((2, False, False, False, True, False), "medium"), ((2, False, False, False, False, False), "low"),
+        ((1, False, False, True, False, False), "low"), ((0, False, False, True, True, True), None),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, strength int, a boolean, b boolean, c boolean, d boolean, e boolean")
+    got = rows.select("i", identity.confidence(*[F.col(x) for x in ("strength", "a", "b", "c", "d", "e")]).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [x for _, x in cases]
+
+
+def test_short_names_are_no_conflict(spark):
+    rows = [(["ann"], ["ann"], None), (["ann", "lee"], ["ann", "lee"], "exact"), (["ann", "lee"], ["ann", "lee", "may"], "partial"), (["ann"], ["ann", "lee"], None), (["ann", "lee"], ["ann", "may"], None)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>, want string").select("want", T.names_match(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_log_anomalies(spark):
+    from weftline.operators import eventlog
+
+    rows = [(1, 1, "on", "a", 7), (1, 2, "on", "b", 7), (1, 3, "off", "a", 7), (1, 4, "off", "a", 7), (2, 1, "off", "a", 7), (2, 2, "on", "a", 7), (2, 3, "off", "a", 8), (3, 1, "on", "a", 7), (3, 2, "off", "a", 7), (3, 3, "on", "b", 9)]
+    df = spark.createDataFrame(rows, "k int, seq int, verb string, who string, paper int")
+    got = {(r.k, r.seq): r.anomaly for r in eventlog.anomalies(df, "k", "seq", "verb", "on", "off", "who", "paper").collect()}
+    assert got == {(1, 2): "reassigned", (1, 3): "other address", (1, 4): "not assigned", (2, 1): "not assigned", (2, 3): "other paper"}
+
+
+def test_levels(spark):
+    from weftline.operators import seniority
+    from weftline.policy import Policy
+
+    rows = [("a", "One Title.", "X", 2001), ("a", "one title", "X", 2001), ("a", "", "X", 2001), ("a", "Later", "X", 2002), ("b", "t1", "Z", 1990), ("b", "t2", "Z", 1991), ("b", "t3", "Z", 1992), ("c", "u1", "X", 1990), ("c", "u2", "X", 1991), ("c", "u3", "Z", 1992), ("d", "v1", "X", 2000), ("d", "v2", "X", 2001), ("d", "v3", "X", None)]
+    got = {r.k: (r.pubs, r.career, r.window, r.level) for r in seniority.classify(spark.createDataFrame(rows, "k string, title string, venue string, year int"), "k", ["X"], current_year=2001, policy=Policy(seniority_window=2, senior_rate=1.0, junior_pubs=3, out_of_area_career=2)).collect()}
+    assert got == {"a": (2, 2, 1, "junior"), "b": (3, 0, 0, "out-of-area"), "c": (3, 2, 0, "typical"), "d": (2, 2, 2, "senior")}
+
+
+def test_country_domains_and_cells(spark):
+    from weftline.operators import country
+
+    got = spark.createDataFrame([(x,) for x in ("a@b.ly", "a@b.uk", "a@b.de", "a@b.zz", "a@b.eu", "a@b.com", "nobody")], "m string").select(country.country_from_email(F.col("m")).alias("c")).collect()
+    assert [r.c for r in got] == [None, "GB", "DE", None, None, None, None]
+    cells = spark.createDataFrame([(x,) for x in (" de ", "The Netherlands", "nowhere", None)], "m string").select(country.country_from_cell(F.col("m"), {"netherlands": "NL"}).alias("c")).collect()
+    assert [r.c for r in cells] == ["DE", "NL", None, None]
 
 
 def test_accounts_by_waterfall(spark):

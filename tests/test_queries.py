@@ -28,7 +28,7 @@ def rows_of(names, rows):
     return sorted(str([plain(r[i]) for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(name, spark, duck):
     df = QUERIES[name](spark, DATA)
     got = duck.execute(ORACLES[name])

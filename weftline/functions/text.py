@@ -50,10 +50,10 @@ def homonym_number(name: Column) -> Column:
 
 
 def names_match(one: Column, other: Column, least: int = 2) -> Column:
-    """'exact' for equal sets, 'partial' where one holds the other and that shares at least two tokens; else null."""
+    """'exact' for equal sets, 'partial' where one holds the other; null otherwise, or if a side has fewer than least tokens."""
     shared = F.size(F.array_intersect(one, other))
     inside = (shared == F.size(one)) | (shared == F.size(other))
-    return F.when((one == other) & (F.size(one) > 0), "exact").when(inside & (shared >= least), "partial")
+    return F.when((F.size(one) >= least) & (F.size(other) >= least), F.when(one == other, "exact").when(inside, "partial"))
 
 
 def local_part(email: Column) -> Column:

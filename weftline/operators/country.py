@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fold, strip_accents
 
-GENERIC = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "io", "ai", "eu", "me", "co", "tv")
+#: Domains that say nothing of a country.
+GENERIC = ("com", "edu", "org", "net", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "xyz", "online", "site", "tech", "io", "ai", "co", "me", "tv", "cc", "ly", "to", "gg", "sh", "st", "fm", "am")
+
+
+def country_codes() -> tuple[str, ...]:
+    """The two-letter codes of ISO 3166, as the Java runtime lists them."""
+    return tuple(sorted(SparkContext._active_spark_context._jvm.java.util.Locale.getISOCountries()))
+
+
+def country_code(c: Column) -> Column:
+    """A cell's code in capitals, if it is one of ISO 3166; else null."""
+    code = F.upper(F.trim(c))
+    return F.when(code.isin(*country_codes()), code)
 
 
 def normalize_affiliation(c: Column) -> Column:
@@ -17,9 +30,15 @@ def normalize_affiliation(c: Column) -> Column:
 
 
 def country_from_email(email: Column) -> Column:
-    """The two-letter domain, uk as GB; null for generic ones."""
+    """The two-letter domain, uk as GB; null for generic ones and what is no country's code."""
     last = F.lower(F.regexp_extract(email, r"@[^@]*\.([A-Za-z]{2,})$", 1))
-    return F.when((F.length(last) == 2) & ~last.isin(*GENERIC), F.when(last == "uk", "GB").otherwise(F.upper(last)))
+    return F.when((F.length(last) == 2) & ~last.isin(*GENERIC), country_code(F.when(last == "uk", "GB").otherwise(last)))
+
+
+def country_from_cell(cell: Column, names: dict[str, str]) -> Column:
+    """An account's country cell: a code, or a name of the table (by its normalised form); else null."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv]) if names else F.lit(None).cast("map<string,string>")
+    return F.coalesce(country_code(cell), F.try_element_at(table, normalize_affiliation(cell)))
 
 
 def country_from_text(df: DataFrame, key: str, text: str, names: DataFrame, longest: int = 4) -> DataFrame:

@@ -20,19 +20,16 @@ def live(events: DataFrame, key: str, sequence: str, verb: str, on: str) -> Data
     return last.select(key, "e.*").where(F.col(verb) == on)
 
 
-def anomalies(events: DataFrame, key: str, sequence: str, verb: str, on: str, off: str, owner: str | None = None) -> DataFrame:
-    """assigned twice, reassigned to another owner, unassigned while free, unassigned though never seen."""
+def anomalies(events: DataFrame, key: str, sequence: str, verb: str, on: str, off: str, owner: str | None = None, item: str | None = None) -> DataFrame:
+    """Events that do not fit what their key's last one left: an assignment of what is assigned (reassigned), and the
+    end of one that is not (not assigned), is another owner's (other address) or is for something else (other paper)."""
     w = Window.partitionBy(key).orderBy(sequence)
-    before = F.lag(verb).over(w)
-    rows = events.withColumn("_before", before)
-    if owner:
-        rows = rows.withColumn("_owner", F.lag(owner).over(w))
-    other = (F.col("_owner") != F.col(owner)) if owner else F.lit(False)
-    kind = (
-        F.when((F.col(verb) == on) & (F.col("_before") == on) & other, "reassigned").when((F.col(verb) == on) & (F.col("_before") == on), "assigned twice")
-        .when((F.col(verb) == off) & F.col("_before").isNull(), "never seen").when((F.col(verb) == off) & (F.col("_before") == off), "already free")
-    )
-    return rows.withColumn("anomaly", kind).where("anomaly is not null").drop("_before", "_owner")
+    held = F.coalesce(F.lag(verb).over(w) == on, F.lit(False))
+    moved = lambda c: F.lit(False) if c is None else ~F.lag(c).over(w).eqNullSafe(F.col(c))
+    rows = events.withColumns({"_held": held, "_owner": moved(owner), "_item": moved(item)})
+    ends = F.when(~F.col("_held"), "not assigned").when(F.col("_owner"), "other address").when(F.col("_item"), "other paper")
+    kind = F.when((F.col(verb) == on) & F.col("_held"), "reassigned").when(F.col(verb) == off, ends)
+    return rows.withColumn("anomaly", kind).where("anomaly is not null").drop("_held", "_owner", "_item")
 
 
 def live_pairs(state: DataFrame, kind: str = "primary", round_: str = "R1") -> DataFrame:

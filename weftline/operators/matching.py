@@ -62,7 +62,10 @@ def kernel(edges: DataFrame, targets: DataFrame, caps: DataFrame, members: DataF
 
 
 def rounds(edges: DataFrame, targets: DataFrame, caps: DataFrame, *, most: int = 10_000) -> DataFrame:
-    """The same assignment without classes, by rounds of locally dominant edges; checkpointed to the shared folder each round."""
+    """The same assignment without classes, by rounds of locally dominant edges, each checkpointed to the shared folder.
+
+    Raises if edges are left after the most rounds.
+    """
     order = [F.desc("score"), F.asc("paper_id"), F.asc("person_id")]
     live = edges.select("paper_id", "person_id", "score").join(targets.where("target > 0"), "paper_id").join(caps.where("cap > 0"), "person_id").checkpoint()
     taken = None
@@ -72,7 +75,7 @@ def rounds(edges: DataFrame, targets: DataFrame, caps: DataFrame, *, most: int =
         won = ranked.where((F.col("_p") <= F.col("target")) & (F.col("_r") <= F.col("cap")))
         safe = won.select("paper_id", "person_id", "score").checkpoint()
         if not safe.limit(1).count():
-            break
+            return taken if taken is not None else edges.select("paper_id", "person_id", "score").limit(0)
         taken = safe if taken is None else taken.unionByName(safe)
         used_p, used_r = safe.groupBy("paper_id").agg(F.count("*").alias("_up")), safe.groupBy("person_id").agg(F.count("*").alias("_ur"))
         live = (
@@ -80,7 +83,7 @@ def rounds(edges: DataFrame, targets: DataFrame, caps: DataFrame, *, most: int =
             .select("paper_id", "person_id", "score", (F.col("target") - F.coalesce("_up", F.lit(0))).alias("target"), (F.col("cap") - F.coalesce("_ur", F.lit(0))).alias("cap"))
             .where("target > 0 and cap > 0").checkpoint()
         )
-    return taken if taken is not None else edges.select("paper_id", "person_id", "score").limit(0)
+    raise RuntimeError(f"edges are left after {most} rounds")
 
 
 def blocking_pairs(edges: DataFrame, assigned: DataFrame, targets: DataFrame, caps: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import sentence_count, word_count
 
-PLACEHOLDERS = ("tbd", "tba", "untitled", "placeholder", "test", "todo", "n/a", "none", "title")
+PLACEHOLDERS = ("test",)
 
 
 def withdrawn(status: Column, flag: Column | None = None) -> Column:
@@ -19,10 +19,10 @@ def _reasons(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(rule, reason) for rule, reason in rules]))
 
 
-def registration_gaps(title: Column, abstract: Column, n_authors: Column, gone: Column) -> Column:
+def registration_gaps(title: Column, abstract: Column, n_authors: Column, gone: Column, placeholders: tuple[str, ...] = PLACEHOLDERS) -> Column:
     """Registered: a real title, two sentences of abstract, an author, not withdrawn."""
     clean = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    return _reasons((clean == "", "no title"), (clean.isin(*PLACEHOLDERS), "placeholder title"), (sentence_count(abstract) < 2, "abstract under two sentences"), (F.coalesce(n_authors, F.lit(0)) < 1, "no authors"), (gone, "withdrawn"))
+    return _reasons((clean == "", "no title"), (clean.isin(*placeholders), "placeholder title"), (sentence_count(abstract) < 2, "abstract under two sentences"), (F.coalesce(n_authors, F.lit(0)) < 1, "no authors"), (gone, "withdrawn"))
 
 
 def completeness_gaps(title: Column, abstract: Column, n_topics: Column, n_authors: Column, gone: Column) -> Column:

@@ -17,21 +17,27 @@ def target_venue(venue: Column, kind: Column, venues: tuple[str, ...]) -> Column
 
 
 def classify(records: DataFrame, key: str, venues: list[str], *, current_year: int, policy: Policy = Policy()) -> DataFrame:
-    """Per person: counts by venue over the career and the window, first and last year, and the level.
+    """Per person: counts by venue over the career and the window, first and last year, all publications, and the level.
 
-    records: key, title, venue, year; the same title and year counts once.
+    records: key, title, venue, year. Records without a title or year do not count; of those with the same title (its
+    case and the dots at its end aside) and year one counts, at one of the venues if any of them was. The window ends
+    with current_year.
     """
     p = policy
-    once = records.where(F.col("venue").isin(*venues)).dropDuplicates([key, "title", "year"])
-    inside = F.col("year") >= current_year - p.seniority_window + 1
+    title = F.rtrim(F.lower(F.trim(F.col("title").cast("string"))), F.lit(". "))
+    at = F.when(F.col("venue").isin(*venues), F.col("venue"))
+    once = records.where("year is not null").withColumn("_title", title).where("trim(cast(title as string)) <> ''").groupBy(key, "_title", "year").agg(F.min(at).alias("venue"))
+    hit, inside = F.col("venue").isNotNull(), F.col("year").between(current_year - p.seniority_window + 1, current_year)
     counts = [F.count_if(F.col("venue") == v).alias(f"career_{k}") for k, v in enumerate(venues)] + [F.count_if((F.col("venue") == v) & inside).alias(f"window_{k}") for k, v in enumerate(venues)]
-    out = once.groupBy(key).agg(*counts, F.count("*").alias("career"), F.count_if(inside).alias("window"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    return out.withColumn("level", level(F.col("career"), F.col("window"), p))
+    out = once.groupBy(key).agg(*counts, F.count_if(hit).alias("career"), F.count_if(hit & inside).alias("window"), F.min(F.when(hit, F.col("year"))).alias("first_year"), F.max(F.when(hit, F.col("year"))).alias("last_year"), F.count("*").alias("pubs"))
+    return out.withColumn("level", level(F.col("career"), F.col("window"), F.col("pubs"), p))
 
 
-def level(career: Column, window: Column, policy: Policy = Policy()) -> Column:
-    rate = window / F.lit(float(policy.seniority_window))
-    return F.when(career < policy.out_of_area_career, "out-of-area").when(career < policy.junior_pubs, "junior").when(rate >= policy.senior_rate - 1e-9, "senior").otherwise("typical")
+def level(career: Column, window: Column, pubs: Column, policy: Policy = Policy()) -> Column:
+    """senior by the window's rate, else junior by all publications, else out-of-area by those at the venues."""
+    p = policy
+    senior = window >= p.senior_rate * p.seniority_window - 1e-9
+    return F.when(senior, "senior").when(pubs < p.junior_pubs, "junior").when(career < p.out_of_area_career, "out-of-area").otherwise("typical")
 
 
 def promote(label: Column, score: Column, policy: Policy = Policy()) -> Column:

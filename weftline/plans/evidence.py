@@ -45,15 +45,13 @@ def pool_floor(t):
 
 
 @query("""
-with p as (select vec_id, embedding::double[] v from embeddings where vec_id % 10 = 1),
-s as (select a.vec_id, b.vec_id other, round(list_dot_product(a.v, b.v), 6) affinity from p a join p b on a.vec_id <> b.vec_id)
+with p as (select vec_id, embedding::double[] v from embeddings),
+s as (select a.vec_id, b.vec_id other, round(list_dot_product(a.v, b.v), 6) affinity from p a join p b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)
 select vec_id, other, affinity, rank from (select *, row_number() over (partition by vec_id order by affinity desc, other) rank from s) where rank <= 3""")
 def nearest_neighbors(t):
-    """A report over all rows against all others: the search is dense by definition. The SQL above still searches a tenth."""
-    p = t("embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
-    q = pairs.sized_broadcast(p.select(F.col("vec_id").alias("other"), F.col("v").alias("w")))
-    scored = p.join(q, F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(V.dot(F.col("v"), F.col("w")), 6).alias("affinity"))
-    return pairs.top_k(scored, "vec_id", [F.desc("affinity"), F.asc("other")], 3).select("vec_id", "other", "affinity", "rank")
+    """The queries are the rows whose id is divisible by 100; all rows are searched, block by block of queries."""
+    e = t("embeddings")
+    return pairs.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 3)
 
 
 @query("""
@@ -116,7 +114,7 @@ def conflict_layers(t):
 
 @query("""
 with p as (select s_suppkey person_id, [s_suppkey % 50, s_suppkey % 7 + 50, s_suppkey % 11 + 60] tok, s_suppkey % 9 + 1 shared from supplier),
-a as (select p_partkey paper_id, [p_partkey % 50, p_partkey % 7 + 50, p_partkey % 11 + 60][1:2 + p_partkey % 2] tok from part where p_partkey % 4 = 0),
+a as (select p_partkey paper_id, [p_partkey % 50, p_partkey % 7 + 50, p_partkey % 11 + 60][1:2 + p_partkey % 2] tok from part),
 m as (select paper_id, person_id, shared, case when list_sort(a.tok) = list_sort(p.tok) then 'exact' when len(list_intersect(a.tok, p.tok)) = len(a.tok) then 'partial' end match
   from (select *, unnest(tok) t from a) a join (select *, unnest(tok) t from p) p on a.t = p.t)
 select distinct paper_id, person_id, match, shared from m where match is not null""")
@@ -129,7 +127,7 @@ def coauthor_conflicts(t):
 
 
 @query("""
-with p as (select s_suppkey person_id, s_suppkey % 40 me, s_suppkey % 30 declared, s_suppkey % 60 inst from supplier), a as (select p_partkey paper_id, p_partkey % 40 me, p_partkey % 35 declared, p_partkey % 80 inst from part where p_partkey % 3 = 0),
+with p as (select s_suppkey person_id, s_suppkey % 40 me, s_suppkey % 30 declared, s_suppkey % 60 inst from supplier), a as (select p_partkey paper_id, p_partkey % 40 me, p_partkey % 35 declared, p_partkey % 80 inst from part),
 u as (select paper_id, person_id, 1 k from a join p on p.declared = a.me union all select paper_id, person_id, 2 from a join p on a.declared = p.me union all select paper_id, person_id, 3 from a join p on a.inst = p.inst)
 select paper_id, person_id, ['person_declared', 'author_declared', 'institution'][min(k)] kind from u group by 1, 2""")
 def collaborator_conflicts(t):
@@ -152,7 +150,7 @@ def country_majority(t):
 
 
 @query("""
-with d as (select doc_id, [lower(x) for x in regexp_extract_all(coalesce(text, ''), '[A-Za-z]{4,}')[1:12]] wanted, [[source, lang], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')[3:6], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')[5:20]] notes from documents),
+with d as (select doc_id, [lower(x) for x in regexp_extract_all(coalesce(text, ''), '[A-Za-z]{4,}')] wanted, [[source, lang], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')[3:6], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')[5:]] notes from documents),
 n as (select doc_id, wanted, unnest(notes) note, generate_subscripts(notes, 1) i from d), s as (select doc_id, array_to_string(note, ' ') note, i, len(list_intersect(list_distinct(note), wanted)) shared from n)
 select doc_id, arg_min(note, (-shared, i)) note, max(shared) shared from s where shared > 0 group by 1""")
 def best_note(t):

@@ -6,12 +6,14 @@ import random
 import time
 from collections.abc import Callable, Iterable, Iterator
 
+#: Too many requests, and servers that shed load.
+RETRIED = (429, 500, 502, 503, 504)
 RETRIES, FLOOR_S, CEILING_S, STOP_AFTER, BATCH = 5, 15.0, 300.0, 5, 500
 
 
 def backoff(floor: float, attempt: int, jitter: Callable[[], float] = random.random) -> float:
-    """Doubles with each attempt up to a ceiling, with up to a quarter more at random."""
-    return min(CEILING_S, floor * 2**attempt * (1 + jitter() / 4))
+    """Doubles with each attempt, a quarter less to a quarter more at random, up to a ceiling."""
+    return min(CEILING_S, floor * 2**attempt * (0.75 + jitter() / 2))
 
 
 def chunks(items: list, size: int = BATCH) -> Iterator[list]:
@@ -19,17 +21,17 @@ def chunks(items: list, size: int = BATCH) -> Iterator[list]:
         yield items[k : k + size]
 
 
-def get_with_retry(session, url: str, params: dict | None = None, *, retries: int = RETRIES, floor: float = FLOOR_S, timeout: float = 30, sleep: Callable[[float], None] = time.sleep):
-    """GET again after 429, 5xx and dropped connections; a server's Retry-After counts up to the ceiling. Other errors raise at once."""
+def get_with_retry(session, url: str, params: dict | None = None, *, retries: int = RETRIES, floor: float = FLOOR_S, timeout: float = 30, headers: dict | None = None, sleep: Callable[[float], None] = time.sleep):
+    """GET again after RETRIED and dropped connections; a server's Retry-After counts up to the ceiling. Other errors raise at once."""
     last: Exception | None = None
     for attempt in range(retries):
         try:
-            response = session.get(url, params=params, timeout=timeout)
+            response = session.get(url, params=params, timeout=timeout, **({"headers": headers} if headers else {}))
         except (ConnectionError, TimeoutError, OSError) as e:
             last = e
             sleep(backoff(floor, attempt))
             continue
-        if response.status_code == 429 or response.status_code >= 500:
+        if response.status_code in RETRIED:
             asked = str(response.headers.get("Retry-After", ""))
             sleep(min(CEILING_S, float(asked)) if asked.isdigit() else backoff(floor, attempt))
             last = RuntimeError(f"status {response.status_code}")
