@@ -42,9 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 1024 ids."""
+    """What is left, as pieces of sequences of 1024 ids. Workers remember less, beside what earlier stages left in memory."""
     _ready(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cache_units=100_000)
 
 
 STAGES = [

@@ -54,6 +54,7 @@ def test_near_copies_go(spark, monkeypatch, often, small):
     monkeypatch.setattr(jaccard, "SAMPLE", often)
     monkeypatch.setattr(jaccard, "OFTEN", often)
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = slow_kept(rows)

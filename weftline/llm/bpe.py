@@ -90,7 +90,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache_units = Tokenizer.from_file(path), CACHE_UNITS
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.by_units = cuts_at_units(file)
@@ -175,7 +175,7 @@ class Encoder:
         if not self.by_units:
             ids, counts = self._library(texts)
             return np.insert(ids, np.cumsum(counts), END_ID).astype("<u4"), counts + 1
-        if len(self.units) > CACHE_UNITS:
+        if len(self.units) > self.cache_units:
             self._clear()
         parts = []
         for odd, some in groupby(texts, self._odd):
@@ -196,8 +196,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_units: int = CACHE_UNITS) -> Encoder:
+    """The worker's encoder of a file; what it remembers of units is forgotten beyond cache_units."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
         memories.append(_loaded.clear)
+    _loaded[path].cache_units = cache_units
     return _loaded[path]

@@ -272,9 +272,7 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
     id_type = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = materialize(repeated(slim, **options), "cuts")
-    marked = looked_up(slim, found, {"doc": F.col("doc_id").cast("long"), "sum": F.crc32("text")}, "text")
 
-    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             rows = []
@@ -284,4 +282,5 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
             a, b, c, d, e = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d), pa.array(e, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return marked.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return looked_up(slim, found, {"doc": F.col("doc_id").cast("long"), "sum": F.crc32("text")}, "text", run, schema)

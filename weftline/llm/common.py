@@ -16,7 +16,8 @@ import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegralType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D]. bytes.split() splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -211,55 +212,43 @@ class Rolling:
         return out
 
 
-def squeezed(df: DataFrame, text: str) -> DataFrame:
-    """df with its text column as zstandard frames, for a shuffle that has to carry whole texts; see unsqueezed()."""
-    schema = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType) for f in df.schema])
-    at = df.columns.index(text)
+Batches = Iterator[pa.RecordBatch]
 
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, text, 1 << 23):
-            columns = list(batch.columns)
-            columns[at] = pa.array([None if x is None else zstd.compress(x) for x in columns[at].cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return df.mapInArrow(run, schema)
+def _sift(batches: Batches, at: int, bits: Broadcast, maybe: bool) -> Batches:
+    for batch in batches:
+        yield batch.filter(pa.array(has_bit(bits.value, batch.column(at).to_numpy()) == maybe))
 
 
-def unsqueezed(df: DataFrame, text: str) -> DataFrame:
-    """df with the column from squeezed() as strings again."""
-    schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in df.schema])
-    at = df.columns.index(text)
+def _squeeze(batches: Batches, text: str) -> Batches:
+    """The text column as zstandard frames, for a shuffle that has to carry whole texts."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in slices(batches, text, 1 << 22):
+        columns, at = list(batch.columns), batch.schema.get_field_index(text)
+        columns[at] = pa.array([None if x is None else zstd.compress(x) for x in columns[at].cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = zstandard.ZstdDecompressor()
-        for batch in slices(batches, text, 1 << 22):
-            columns = list(batch.columns)
-            columns[at] = pa.array([None if x is None else zstd.decompress(x) for x in columns[at].to_pylist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return df.mapInArrow(run, schema)
+def _unsqueeze(batches: Batches, text: str) -> Batches:
+    zstd = zstandard.ZstdDecompressor()
+    for batch in slices(batches, text, 1 << 21):
+        columns, at = list(batch.columns), batch.schema.get_field_index(text)
+        columns[at] = pa.array([None if x is None else zstd.decompress(x) for x in columns[at].to_pylist()], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
 def sifted(df: DataFrame, key: str, bits: Broadcast, maybe: bool) -> DataFrame:
     """The rows of df whose long column key has its bit set (maybe), or has not; see bit_filter()."""
     at = df.columns.index(key)
+    return df.mapInArrow(tidied(lambda batches: _sift(batches, at, bits, maybe)), df.schema)
 
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(has_bit(bits.value, batch.column(at).to_numpy()) == maybe))
 
-    return df.mapInArrow(run, df.schema)
+def looked_up(df: DataFrame, found: DataFrame, on: dict[str, Column], text: str, then: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """then over df left joined with found, which has a row at most for each key and columns of other names than df's.
 
-
-def looked_up(df: DataFrame, found: DataFrame, on: dict[str, Column], text: str) -> DataFrame:
-    """df left joined with found, which has a row at most for each key and columns of other names than df's.
-
-    on: found's key columns, and what they equal. Rows whose keys found certainly has not do not travel; the others do
-    with their text squeezed.
+    on: found's key columns, and what they equal; then gets df's columns and found's others, and gives rows of schema.
+    Rows whose keys found certainly has not do not travel; the others do with their text squeezed. What follows each
+    other without a shuffle is one function, so that a task needs one Python worker.
     """
     names, rest = df.columns, [c for c in found.columns if c not in on]
     own: dict[str, str] = {}
@@ -267,10 +256,24 @@ def looked_up(df: DataFrame, found: DataFrame, on: dict[str, Column], text: str)
         own[c] = free_name([*names, *found.columns, *own.values()], f"_{c}")
     key = free_name([*names, *found.columns, *own.values()], "_key")
     keyed = df.withColumns({own[c]: x for c, x in on.items()}).withColumn(key, F.xxhash64(*own.values()))
-    bits = bit_filter(found.select(F.xxhash64(*on).alias("key")), "key")
-    sure = sifted(keyed, key, bits, False).select(*(F.col(f"`{c}`") for c in names), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in rest))
-    unsure = squeezed(sifted(keyed, key, bits, True), text).join(found.withColumnsRenamed(own), list(own.values()), "left")
-    return sure.unionByName(unsqueezed(unsure.select(*(F.col(f"`{c}`") for c in names), *rest), text))
+    bits, at, kinds = bit_filter(found.select(F.xxhash64(*on).alias("key")), "key"), len(keyed.columns) - 1, [to_arrow_type(found.schema[c].dataType) for c in rest]
+
+    @tidied
+    def stay(batches: Batches) -> Batches:
+        few = _sift(batches, at, bits, False)
+        yield from then(pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.nulls(b.num_rows, k) for k in kinds)], names=[*names, *rest]) for b in few)
+
+    @tidied
+    def travel(batches: Batches) -> Batches:
+        yield from _squeeze(_sift(batches, at, bits, True), text)
+
+    @tidied
+    def arrive(batches: Batches) -> Batches:
+        yield from then(_unsqueeze(batches, text))
+
+    carried = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType) for f in keyed.schema])
+    joined = keyed.mapInArrow(travel, carried).join(found.withColumnsRenamed(own), list(own.values()), "left")
+    return keyed.mapInArrow(stay, schema).unionByName(joined.select(*(F.col(f"`{c}`") for c in names), *rest).mapInArrow(arrive, schema))
 
 
 def same_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from weftline.llm.minimisers import pack, unpack
 
 SHINGLE, SHARE, SEED = 5, 0.8, 42
 SAMPLE, OFTEN, FREQUENT = 32, 3, 250_000
-PAIRS, SEEN, SMALL = 1 << 20, 1 << 18, 16
+PAIRS, SEEN, SMALL, BLOCK = 1 << 20, 1 << 18, 16, 64
 #: One shingle of a prefix: its hash, its set's signature and size.
 SHOWN = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4")])
 PAIR, NEXT, MEMBER = 0, 1, 2
@@ -272,8 +272,8 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, *, shingle:
 
     @tidied
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of members of one shingle that have different roots, about PAIRS at a time; rows come sorted by shingle and root."""
-        for key, root, sig, n in _whole_runs(batches):
+        """Pairs of members in one cell that have different roots, and blocks where a cell has two; rows come sorted by cell and root."""
+        for key, root, sig, n, block, two in _whole_runs(batches):
             starts, sizes = _runs(key)
             stops = np.repeat(starts + sizes, sizes)
             firsts, count = _runs(key if not len(key) else np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])])))
@@ -282,15 +282,21 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, *, shingle:
             ends, lo = np.cumsum(later), 0
             while lo < len(key):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-                pairs = np.repeat(np.arange(lo, hi), later[lo:hi]), ragged(ahead[lo:hi], later[lo:hi])
-                yield from _counted(PAIR, iter([pairs]), sig, n, share)
+                left, right = np.repeat(np.arange(lo, hi), later[lo:hi]), ragged(ahead[lo:hi], later[lo:hi])
+                wanted = (two[left] == 0) | (block[left] != block[right])
+                yield from _counted(PAIR, iter([(left[wanted], right[wanted])]), sig, n, share)
                 lo = hi
 
     by_root = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sig"), F.col("na").cast("long").alias("n"))
     members = materialize(by_root.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", F.coalesce("root", "sig").alias("root"), "sig", "n"), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    by_root = members.join(mixed, "key", "left_semi")  # a shingle of one component has no pair to find
-    crossing = by_root.repartition("key").sortWithinPartitions("key", "root").mapInArrow(across, PAIR_ROWS)
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high")
+    # A shingle of one component has no pair to find. The members of the others stand in blocks, and each two blocks, or
+    # one with itself, meet in a cell, so that no shingle's pairs are made by one task.
+    by_root = members.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks"))
+    by_root = by_root.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    by_root = by_root.select(cell.alias("cell"), "root", "sig", "n", "block", (F.col("block") != F.col("other")).cast("long").alias("two"))
+    crossing = by_root.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(across, PAIR_ROWS)
     likely = likely_of(met.where(F.col("kind") == PAIR).unionByName(crossing))
     for end in "ab":
         likely = likely.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")

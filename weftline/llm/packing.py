@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import encoder, public_path
+from weftline.llm.bpe import CACHE_UNITS, encoder, public_path
 from weftline.llm.common import partitions, slices, tidied
 
-WINDOW, STRIDE, CHUNK, AHEAD = 1024, 8, 1 << 20, 64
+WINDOW, STRIDE, CHUNK, AHEAD = 1024, 8, 1 << 19, 64
 #: What a cut costs, in ids of padding.
 DOCUMENT, SENTENCE, INSIDE = 0, 1, 4
 
@@ -113,13 +113,13 @@ class _Stream:
         self.ids, self.docs, self.counts = self.ids[stop:].copy(), self.docs[gone:], self.counts[gone:]
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, tokenizer: str | None = None, cache_units: int = CACHE_UNITS) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids and the end id 0; a null or empty text is the end id alone. Rows with a null id come
     first, repeated ids stand in the order of their texts, each row being a document. Sequences hold at most window
     ids; their ids ascend with doc_id, without gaps inside a partition. An empty table gives no rows; other columns
-    are ignored.
+    are ignored. cache_units: about how many distinct units' ids a Python worker remembers.
     """
     path = tokenizer or public_path()
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
 
     @partial(tidied, keep=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, cache_units)
         stream = _Stream(window, bpe.sentence_ends(), TaskContext.get().partitionId() << 33)
         kind = None
 

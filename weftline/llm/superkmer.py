@@ -9,12 +9,13 @@ their documents by a join on the id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftline.llm.common import IS_SPACE, Rolling, free_name, integer_id, looked_up, materialize, mix, partitions, ragged, same_slices, slices, texts_of, tidied
 from weftline.llm.minimisers import BLOBS, CUT, CUT_ROWS, CUTS, RUN, batch_of, by_bucket, covered, cut_batch, dealt, owners, pack, runs_of, unpack
@@ -142,10 +143,10 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     return packed.mapInArrow(count, CUT_ROWS).groupBy("doc", "sum").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, cuts: str, **options) -> DataFrame:
-    """docs with a column cuts, null where nothing goes. Documents that lose nothing are not shuffled."""
+def _marked(docs: DataFrame, doc_id: str, text: str, cuts: str, then: Callable, schema: str | StructType, **options) -> DataFrame:
+    """then over docs with a column cuts, null where nothing goes. Documents that lose nothing are not shuffled."""
     found = materialize(repeated(docs, doc_id=doc_id, text=text, **options), "cuts").withColumnRenamed("cuts", cuts)
-    return looked_up(docs, found, {"doc": F.col(doc_id).cast("long"), "sum": F.crc32(F.col(text))}, text)
+    return looked_up(docs, found, {"doc": F.col(doc_id).cast("long"), "sum": F.crc32(F.col(text))}, text, then, schema)
 
 
 def kept_words(text: bytes, cuts: list[dict] | None) -> tuple[list[bytes], int]:
@@ -169,7 +170,6 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
 
-    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             out = []
@@ -180,7 +180,7 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **op
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return _marked(slim, "doc_id", "text", "cuts", **options).mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    return _marked(slim, "doc_id", "text", "cuts", run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string", **options)
 
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
@@ -188,11 +188,9 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     n_chars counts anew; a text from which nothing goes is left as it is, null or empty ones too; a row left with no word
     goes. An empty table gives no rows.
     """
-    marked = _marked(docs, doc_id, text, free_name(docs.columns, "_cuts"), **options)
     schema = docs.schema
     names = schema.names
 
-    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE):
             texts, cuts = batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()
@@ -205,4 +203,4 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 columns[names.index(n_chars)] = pa.array(sizes, columns[names.index(n_chars)].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
-    return marked.mapInArrow(run, schema)
+    return _marked(docs, doc_id, text, free_name(names, "_cuts"), run, schema, **options)
