@@ -626,14 +626,15 @@ def test_slices_keep_rows():
 def test_pipeline_against_plain_python(spark):
     """run() on the smallest tables: each stage's rows from the previous stage's by brute force."""
     import corpus_pipeline
+    from test_jaccard import slow_kept
 
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     verdict = {r.doc_id for r in isoforest.judged(table, labels).where("kept").collect()}
     rows = {r.doc_id: r.text for r in table.collect() if r.doc_id in verdict}
-    comp = slow_components({i: slow_fingerprint(t) for i, t in rows.items()})
-    rows = {i: t for i, t in rows.items() if comp[i] == i}
+    kept = slow_kept(list(rows.items()))
+    rows = {i: t for i, t in rows.items() if i in kept}
     cut = slow_words(list(rows.items()))
     first, left = {}, {}
     for i in sorted(rows):
