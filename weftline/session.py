@@ -25,10 +25,14 @@ def local_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSes
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; only where that is unset, as in tests, a new one."""
+    """Use the shared folder in spark.checkpoint.dir; only where that is unset and Spark runs in one process, as in tests, a new one."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="weftline-"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not (context.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="weftline-"))
 
 
 def ship(spark: SparkSession) -> SparkSession:
