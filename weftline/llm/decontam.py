@@ -6,12 +6,18 @@ Around each hit the two word sequences are compared on their common diagonal: th
 ``window`` words (the whole item where that is shorter) holds the seed's stretch and agrees in ``similarity`` of its
 places. The two default masks are lossless for that rule: any 13 words with at most 2 substitutions hold a seed.
 
+An item shorter than the window has masks of its own length: with s substitutions allowed, every (s+1)-th of its words
+from each of the first s + 1 on. One of these holds no substitution, so they are lossless too, down to one word.
+
 The benchmark's seeds are broadcast if there are at most ``broadcast_seeds`` of them (counted first; about 32 bytes
-each plus the items' words); beyond that the seeds are joined by a shuffle and the verified words fetched by id.
+each plus the items' words); beyond that the seeds are joined by a shuffle and the verified words fetched by row (id
+and words), which gives the same rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +29,26 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def word_hashes(text: Column) -> Column:
-    """Hashes of the lower-cased words [^\\x20\\x09-\\x0D]+ of a text."""
+    """Hashes of the lower-cased words [^\\x20\\x09-\\x0D]+ of a text; one of no word at all where there are none."""
     trimmed = F.call_function("btrim", F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS))
     return F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
 
 
+def has_words(text: Column) -> Column:
+    return F.call_function("btrim", F.coalesce(text, F.lit("")), F.lit(BLANKS)) != ""
+
+
+def needed(length: int, similarity: float) -> int:
+    """How many of a window's places have to agree."""
+    return math.ceil(similarity * length - 1e-9)
+
+
+def short_masks(length: int, similarity: float) -> list[tuple[int, ...]]:
+    """An item's places in classes, one of which agrees as a whole in every overlap that counts."""
+    step = length - needed(length, similarity) + 1
+    return [tuple(range(first, length, step)) for first in range(min(step, length))]
+
+
 def _seeds(df: DataFrame, words: str, keep: list[str], masks=MASKS) -> DataFrame:
     """One row per place and mask: keep, pos, seed. Places where the mask would leave the text make none."""
     placed = df.select(*keep, words, F.posexplode(F.sequence(F.lit(0), F.size(words) - 1)).alias("pos", "_at"))
@@ -38,6 +59,18 @@ def _seeds(df: DataFrame, words: str, keep: list[str], masks=MASKS) -> DataFrame
     return placed.select(*keep, words, "pos", F.posexplode(F.array(*seeds)).alias("mask", "seed")).where("seed is not null")
 
 
+def _short_seeds(items: DataFrame, lengths: list[int], masks: list[tuple[int, ...]], similarity: float) -> DataFrame:
+    """One row per short item and mask: item_id, item_words, item_pos, mask, seed."""
+    rows = F.array().cast("array<struct<item_pos:int,mask:int,seed:bigint>>")
+    for n in lengths:
+        seeds = []
+        for places in short_masks(n, similarity):
+            k = masks.index(tuple(x - places[0] for x in places))
+            seeds.append(F.struct(F.lit(places[0]).alias("item_pos"), F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[F.get("item_words", F.lit(x)) for x in places]).alias("seed")))
+        rows = F.when(F.size("item_words") == n, F.array(*seeds)).otherwise(rows)
+    return items.select("item_id", "item_words", F.explode(rows).alias("s")).select("item_id", "item_words", "s.*")
+
+
 def _verify(window: int, similarity: float, spans: list[int]) -> Column:
     """The best agreement of a window that holds the hit, as (agreeing places, first item word), null if too low."""
     span = F.element_at(F.array(*[F.lit(s) for s in spans]), F.col("mask") + 1)
@@ -59,27 +92,34 @@ def contaminated(
     """Pairs of a document and a benchmark item that overlap: doc_id, item_id, matched_words, window_words, doc_start, item_start.
 
     matched_words is the best window's agreeing places; doc_start and item_start are where the best window begins (of
-    several, the one earliest in the document, then in the item). A pair has one row. Null and empty texts, and items
-    with fewer words than the shortest mask spans, match nothing; rows with a null id are left out; repeated rows
-    count once; empty tables give no rows. Other columns of either table are ignored.
+    several, the one earliest in the document, then in the item; of rows that share the item's id, the longest window).
+    A pair has one row. Texts without words match nothing; an item of any length matches, however short; rows with a
+    null id are left out; rows that repeat an id are looked at one by one; empty tables give no rows. Other columns of
+    either table are ignored. masks have to suit items of window words and more; shorter ones have short_masks().
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item_words")).where("item_id is not null").distinct()
-    left = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words")).where("doc_id is not null")
-    places = _seeds(items, "item_words", ["item_id"], masks).withColumnRenamed("pos", "item_pos")
-    found = _seeds(left, "words", ["doc_id"], masks)
+    items = benchmark.where(F.col(item_id).isNotNull() & has_words(F.col(item_text))).select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item_words")).distinct()
+    left = docs.where(F.col(doc_id).isNotNull() & has_words(F.col(text))).select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
+    lengths = sorted(r[0] for r in items.select(F.size("item_words")).where(F.size("item_words") < window).distinct().collect())  # fewer than window values
+    own = {tuple(x - m[0] for x in m) for n in lengths for m in short_masks(n, similarity)}
+    every = [*masks, *sorted(own - set(masks))]
+    places = _seeds(items.where(F.size("item_words") >= window), "item_words", ["item_id"], masks).withColumnRenamed("pos", "item_pos")
+    if lengths:
+        places = places.unionByName(_short_seeds(items, lengths, every, similarity))
+    found = _seeds(left, "words", ["doc_id"], every)
     if places.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         hits = found.join(F.broadcast(places), ["mask", "seed"])
     else:
-        slim = found.select("doc_id", "pos", "mask", "seed").join(places.select("item_id", "item_pos", "mask", "seed"), ["mask", "seed"])
-        hits = slim.join(left, "doc_id").join(items, "item_id")
-    spans = [m[-1] + 1 for m in masks]
+        row, item_row = F.xxhash64("doc_id", "words").alias("row"), F.xxhash64("item_id", "item_words").alias("item_row")
+        slim = found.select("doc_id", row, "pos", "mask", "seed").join(places.select("item_id", item_row, "item_pos", "mask", "seed"), ["mask", "seed"])
+        hits = slim.join(left.select("*", row), ["doc_id", "row"]).join(items.select("*", item_row), ["item_id", "item_row"])
+    spans = [m[-1] + 1 for m in every]
     # The verdict is filtered after the aggregation: a filter here would become part of the join's condition, and the
     # join, no longer compiled, would copy the words of a document for each of its places.
     checked = hits.select("doc_id", "item_id", F.least(F.lit(window), F.size("item_words")).alias("length"), (F.col("pos") - F.col("item_pos")).alias("diagonal"), _verify(window, similarity, spans).alias("best"))
-    order = F.when(F.col("best").isNotNull(), F.struct(F.col("best.agree"), (F.col("best.back") - F.col("diagonal")).alias("doc_back"), F.col("best.back").alias("item_back")))
-    top = checked.groupBy("doc_id", "item_id").agg(F.max(order).alias("top"), F.max("length").alias("window_words")).where("top is not null")
+    order = F.when(F.col("best").isNotNull(), F.struct(F.col("best.agree"), (F.col("best.back") - F.col("diagonal")).alias("doc_back"), F.col("best.back").alias("item_back"), "length"))
+    top = checked.groupBy("doc_id", "item_id").agg(F.max(order).alias("top")).where("top is not null")
     return top.select(
-        "doc_id", "item_id", F.col("top.agree").alias("matched_words"), "window_words", (-F.col("top.doc_back")).alias("doc_start"), (-F.col("top.item_back")).alias("item_start"),
+        "doc_id", "item_id", F.col("top.agree").alias("matched_words"), F.col("top.length").alias("window_words"), (-F.col("top.doc_back")).alias("doc_start"), (-F.col("top.item_back")).alias("item_start"),
     )
 
 

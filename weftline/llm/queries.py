@@ -81,12 +81,13 @@ _WORDS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x
 ORACLES["op8_decontamination"] = f"""
 with d as (select doc_id, unnest(range(1, len(w) + 1)) p, w from (select distinct doc_id, {_WORDS_SQL} w from documents where doc_id is not null)),
 i as (select item_id, unnest(range(1, len(w) + 1)) p, w from (select distinct item_id, {_WORDS_SQL} w from benchmark where item_id is not null)),
-ds as ({_seed_sql("d", "doc_id")}), bs as ({_seed_sql("i", "item_id")}),
+ds as ({_seed_sql("d", "doc_id")}), bs as ({_seed_sql(f"(select * from i where len(w) >= {decontam.WINDOW})", "item_id")}),
 h as (select distinct doc_id, item_id, ds.w dw, bs.w iw, ds.p - bs.p g, bs.p ip, bs.span, least({decontam.WINDOW}, len(bs.w)) n from ds join bs on ds.m = bs.m and ds.seed = bs.seed),
 s as (select *, unnest(range(greatest(1, 1 - g, ip + span - n), least(least(len(iw), len(dw) - g) - n + 1, ip) + 1)) s from h),
-a as (select doc_id, item_id, n, s, s + g q, len(list_filter(range(s, s + n), lambda k: iw[k] = dw[k + g])) agree from s)
+f as (select doc_id, item_id, d.w dw, i.w iw, d.p - 1 g, len(i.w) n, 1 s from d join (select item_id, w from i where p = 1 and len(w) < {decontam.WINDOW}) i on d.p + len(i.w) - 1 <= len(d.w)),
+a as (select doc_id, item_id, n, s, s + g q, len(list_filter(range(s, s + n), lambda k: iw[k] = dw[k + g])) agree from (select doc_id, item_id, dw, iw, g, n, s from s union all select doc_id, item_id, dw, iw, g, n, s from f))
 select doc_id, item_id, agree matched_words, n window_words, q - 1 doc_start, s - 1 item_start from (
-  select *, row_number() over (partition by doc_id, item_id order by agree desc, q, s) rn from a where agree >= ceil({decontam.SIMILARITY} * n - 1e-9)) where rn = 1"""
+  select *, row_number() over (partition by doc_id, item_id order by agree desc, q, s, n desc) rn from a where agree >= ceil({decontam.SIMILARITY} * n - 1e-9)) where rn = 1"""
 ORACLES["op9_superkmer"] = rf"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
 k as (select doc_id, p, array_to_string(w[p:p + {superkmer.WINDOW - 1}], ' ') s from (select doc_id, w, unnest(range(1, len(w) - {superkmer.WINDOW - 2})) p from d)),
