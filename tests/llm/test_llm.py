@@ -15,7 +15,9 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from weftline.llm import bitplanes, bwt, decontam, hmm, isoforest, minimisers, packing, simhash, superkmer, toxicity, wordpiece
+from pyspark.sql import functions as F
+
+from weftline.llm import bitplanes, bwt, common, decontam, hmm, isoforest, minimisers, packing, queries, simhash, superkmer, toxicity, wordpiece
 from weftline.llm.bpe import encoder, public_path
 from weftline.llm.common import Rolling, ragged, slices
 from weftline.llm.components import components
@@ -346,11 +348,32 @@ def test_segments_are_all_found():
     assert abs(0.9 * math.exp(-2 * rate) + 0.1 * math.exp(3 * rate) - 1) < 1e-6
 
 
+def test_passages_count_together(spark):
+    cases = [[], [4.0], [9.0, 5.0], [4.0, 3.5, 3.1], [30.0, 3.0], [3.2] * 8]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, x array<double>").select("k", toxicity.together(F.col("x")).alias("y"))
+    for k, y in rows.collect():
+        sums = [(r, sum(cases[k][:r])) for r in range(1, len(cases[k]) + 1)]
+        chances = [math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) * 2 ** (r - 1) for r, t in sums]
+        assert y is None if not sums else abs(y + math.log(min(chances))) < 1e-9
+
+
+def test_least_hashed_rows(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    want = df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()
+    assert sorted(common.least_hashed(df, "doc_id", 300).collect()) == sorted(want)
+    assert common.least_hashed(df, "doc_id", 20_000).count() == 20_000 and common.least_hashed(df.limit(0), "doc_id", 5).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     table, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r.doc_id: r for r in toxicity.scored(table, labels).collect()}
     marks = {r.doc_id: r.toxic for r in labels.collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for i, r in got.items())
+    for r in got.values():
+        assert all(p.chance <= toxicity.LEVEL and p.score <= r.best and (p.score < r.best or math.isclose(p.chance, r.chance)) for p in r.passages) and len(r.passages) <= r.n_segments
+        assert all(0 <= p.start < p.stop <= r.n_words for p in r.passages) and all(p.stop <= q.start for p, q in zip(r.passages, r.passages[1:]))
+        assert (r.best > 0 and r.chance <= toxicity.LEVEL) == any((p.start, p.stop, p.score) == (r.best_start, r.best_stop, r.best) for p in r.passages)
+    assert max(len(r.passages) for r in got.values()) > 1
     held = [(got[i].score, y) for i, y in marks.items() if got[i].held_out]
     bad, good = [s for s, y in held if y], [s for s, y in held if not y]
     assert sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good)) > 0.75
@@ -517,6 +540,47 @@ def test_decontamination_finds_substituted_passages(spark):
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def short_items(seed: int = 8):
+    """Items of 1 to 13 words, and documents that hold them with 0 to 3 substitutions, whole and cut, or share an id."""
+    rng = random.Random(seed)
+    items = [(n * 10 + k, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(n))) for n in range(1, 14) for k in range(2)]
+    docs = []
+    for i in range(260):
+        x = items[i % len(items)][1].split()
+        for k in rng.sample(range(len(x)), min(len(x), rng.randint(0, 3))):
+            x[k] = "YY"
+        words = ["".join(rng.choice("qrstuvwxyz") for _ in range(3)) for _ in range(rng.randint(0, 20))]
+        at = rng.randint(0, len(words))
+        docs.append((i, " ".join(words[:at] + x[: rng.choice([len(x), len(x), len(x) - 1])] + words[at:])))
+    half = items[-3][1].split()
+    docs += [(300, " ".join(half[:6])), (300, " ".join(half[6:])), (301, None), (302, " "), (303, items[0][1])]
+    return docs, [*items, (900, None), (901, " \n"), (131, "of two texts")]
+
+
+def test_decontamination_is_whole_for_short_items(spark):
+    docs, items = short_items()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = slow_overlaps(docs, items)
+    assert {len(dict(items)[j].split()) for _, j in want if j != 131} >= set(range(1, 13))
+    rows = [sorted(decontam.contaminated(d, b, broadcast_seeds=limit).collect()) for limit in (10**6, 3)]
+    assert rows[0] == rows[1] and {(r.doc_id, r.item_id) for r in rows[0]} == want
+
+
+def test_decontamination_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    docs, items = short_items(9)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontam.contaminated(*(spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark")))
+    found = con.execute(queries.ORACLES["op8_decontamination"])
+    names = [x[0] for x in found.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+
+
 # --- 9 and 10 substrings ---
 
 

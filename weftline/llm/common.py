@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
+from weftline.session import checkpoint_dir
+
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D]. bytes.split() splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -26,15 +27,11 @@ IS_SPACE[list(SPACES)] = True
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where unset, as in tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (see session.checkpoint_dir) a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            path = found.get()
-        else:
-            path = "file://" + tempfile.mkdtemp(prefix="weftline-")
-            spark.sparkContext.setCheckpointDir(path)
+        checkpoint_dir(spark)
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
 
 
@@ -73,6 +70,18 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def least_hashed(df: DataFrame, key: str, rows: int, *ties: str) -> DataFrame:
+    """At most rows rows of df, those whose key has the least hashes; all of df where it has no more.
+
+    Hashes are near uniform, so those under 1.5 times the share suffice, and the task that merges gets little else.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    bound = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.5 * rows / n + 1000 / n)))
+    return df.where(F.xxhash64(key) <= bound).orderBy(F.xxhash64(key), key, *ties).limit(rows)
+
+
 FILTER_BITS, PAGE = 1 << 24, 1 << 15  # a filter's bits in all, and in a row of its aggregation
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, slices, texts_of, tidied
+from weftline.llm.common import least_hashed, materialize, slices, texts_of, tidied
 
 TREES, TREE_ROWS, FIT_ROWS, MAX_FALSE, BINS, SEED = 100, 256, 25_600, 0.002, 10_000, 42
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -160,7 +160,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", quality:
     """Grow the forest and calibrate its threshold. Without labelled rows nothing is rejected beyond the base rules."""
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("_quality")).where("doc_id is not null and _quality is not null").groupBy("doc_id").agg(F.min("_quality").alias("_quality"))
     labelled = stats.join(marks, "doc_id")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(fit_rows).select(*COUNTS, (F.col("_quality") > 0).cast("long")).toPandas().to_numpy(dtype=np.int64)
+    sample = least_hashed(labelled, "doc_id", fit_rows, *COUNTS).select(*COUNTS, (F.col("_quality") > 0).cast("long")).toPandas().to_numpy(dtype=np.int64)
     seen = features(sample[:, :-1])
     forest = grow(seen[(sample[:, -1] > 0) & ~base_failed(sample)], seen, trees, tree_rows, seed)
     seen = _scored(stats, Model(forest, math.inf)).where("not base_failed").join(marks, "doc_id")

@@ -4,8 +4,11 @@ Each word is scored by the log-odds of its most specific known feature between t
 informative Dirichlet prior from all counts: the word itself, or its first 8 to 4 letters where more letters follow.
 Unknown words cost a little, so the expected score is negative. A linear scan (Ruzzo and Tompa) finds every maximal
 scoring segment. The best of n random words follows an extreme-value law, P(S >= s) = 1 - exp(-K n exp(-lambda s)):
-lambda comes from the scores of all words of all documents, K from the labelled clean documents. A document's expected
-number of such segments by chance is mapped to a probability by logistic regression on all labelled training rows.
+lambda comes from the scores of all words of all documents, K from the labelled clean documents. A segment is a toxic
+passage where at most ``level`` as good ones are expected by chance in a text of that length. The passages count
+together: with x = lambda s - log(K n) for each, the sum T of the r best has about the chance
+exp(-T) T**(r-1) / (r! (r-1)!) (Karlin and Altschul), doubled for each further r that is tried. The least chance is
+mapped to a probability by logistic regression on all labelled training rows.
 
 Only the features' log-odds come from a bounded sample: the ``fit_rows`` labelled training rows with the smallest
 hashes of their ids.
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, slices, tidied
+from weftline.llm.common import least_hashed, materialize, slices, tidied
 
 #: PRIOR: the prior's size as a share of all counts.
-FIT_ROWS, LEXICON, MIN_Z, PRIOR, THRESHOLD = 20_000, 20_000, 2.0, 0.05, 0.3
+FIT_ROWS, MIN_Z, PRIOR, THRESHOLD, LEVEL = 20_000, 2.0, 0.05, 0.3, 0.05
 #: Scores are whole quarters of a nat; DRIFT is what each word costs.
 UNIT, DRIFT, LOW, HIGH = 4, 2, -12, 40
 PREFIXES = (8, 7, 6, 5, 4)
@@ -84,9 +87,9 @@ def _labels(labels: DataFrame, doc_id: str, toxic: str) -> DataFrame:
     return rows.where("doc_id is not null and toxic is not null").where(training(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
 
 
-def fit_lexicon(docs: DataFrame, marks: DataFrame, *, fit_rows: int = FIT_ROWS, size: int = LEXICON, min_z: float = MIN_Z, prior: float = PRIOR) -> dict[str, int]:
-    """Feature -> score in units, for the at most size features that are most surely toxic."""
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded by fit_rows
+def fit_lexicon(docs: DataFrame, marks: DataFrame, *, fit_rows: int = FIT_ROWS, min_z: float = MIN_Z, prior: float = PRIOR) -> dict[str, int]:
+    """Feature -> score in units, for all features that are surely toxic: as many as the fit_rows texts give."""
+    chosen = least_hashed(marks, "doc_id", fit_rows)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies count once
 
     @tidied
@@ -106,12 +109,12 @@ def fit_lexicon(docs: DataFrame, marks: DataFrame, *, fit_rows: int = FIT_ROWS,
     alpha, whole = F.lit(prior) * (F.col("bad") + F.col("good")), prior * (n1 + n0)
     odds = F.log((F.col("bad") + alpha) / (n1 + whole - F.col("bad") - alpha)) - F.log((F.col("good") + alpha) / (n0 + whole - F.col("good") - alpha))
     z = odds / F.sqrt(1 / (F.col("bad") + alpha) + 1 / (F.col("good") + alpha))
-    top = counts.select("feature", odds.alias("odds"), z.alias("z"), "bad").where(F.col("z") >= min_z).where("bad >= 3").orderBy(F.desc("z"), "feature").limit(size).collect()
+    top = counts.select("feature", odds.alias("odds"), z.alias("z"), "bad").where(F.col("z") >= min_z).where("bad >= 3").collect()  # of fit_rows texts only
     return {r.feature: int(min(HIGH, max(LOW, round(UNIT * r.odds)))) for r in top}
 
 
 def scan(docs: DataFrame, lexicon: dict[str, int], id_type: str) -> DataFrame:
-    """Per document: doc_id, n_words, n_segments, best (score), best_start, best_stop (words), and times (words by score)."""
+    """Per document: doc_id, n_words, segments (start, stop in words, score; all maximal ones), and times (words by score)."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +124,29 @@ def scan(docs: DataFrame, lexicon: dict[str, int], id_type: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 scores = [known[w] for w in (text or "").split()]
                 found = segments(scores) if max(scores, default=0) > 0 else []
-                best = max(found, key=lambda x: (x[2], -x[0]), default=(0, 0, 0))
-                out.append((len(scores), len(found), best[2], best[0], best[1], sorted(Counter(scores).items())))
-            columns = list(zip(*out))
-            kinds = [pa.int64()] * 5 + [pa.map_(pa.int32(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_segments", "best", "best_start", "best_stop", "times"])
+                out.append((len(scores), found, sorted(Counter(scores).items())))
+            sizes, found, times = zip(*out)
+            flat = np.array([x for f in found for x in f], dtype=np.int64).reshape(-1, 3)
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            parts = pa.StructArray.from_arrays([pa.array(flat[:, k].copy()) for k in range(3)], names=["start", "stop", "score"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), parts), pa.array(times, pa.map_(pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "segments", "times"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_words long, n_segments long, best long, best_start long, best_stop long, times map<int,long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, n_words long, segments array<struct<start:long,stop:long,score:long>>, times map<int,long>")
+
+
+def together(x: Column) -> Column:
+    """Minus the logarithm of the least chance of the r greatest of x over all r, from x in falling order; null for none."""
+    zero = F.struct(F.lit(0).alias("r"), F.lit(0.0).alias("t"), F.lit(0.0).alias("paid"), F.lit(None).cast("double").alias("most"))
+
+    def step(was: Column, value: Column) -> Column:
+        r, t = was["r"] + 1, was["t"] + value
+        # log r! + log (r-1)! - r log 2, of which the first r pays nothing
+        paid = was["paid"] + F.when(r > 1, F.log(r.cast("double")) + F.log(F.greatest(r - 1, F.lit(1)).cast("double")) - math.log(2)).otherwise(0.0)
+        now = F.when(r == 1, t).otherwise(t - (r - 1) * F.log(F.greatest(t, F.lit(1.0))) + paid)
+        return F.struct(r.alias("r"), t.alias("t"), paid.alias("paid"), F.greatest(was["most"], now).alias("most"))
+
+    return F.aggregate(x, zero, step, lambda s: s["most"])
 
 
 def decay(times: dict[int, float]) -> float:
@@ -160,28 +179,38 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
     return float(w[0]), float(w[1])
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """For every row of docs: doc_id, held_out, score, predicted, n_words, n_segments, best, best_start, best_stop, chance.
+def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", threshold: float = THRESHOLD, level: float = LEVEL, **options) -> DataFrame:
+    """For every row of docs: doc_id, held_out, score, predicted, n_words, n_segments, best, best_start, best_stop, chance, passages.
 
-    score is the probability of a toxic label; best the best segment's score, at words best_start to best_stop; chance
-    the expected number of as good segments in random text of that length. Labels of rows whose crc32(doc_id) mod 4 is
-    2 are never read into the model; nothing but the text enters a score. Null and empty texts have no segment. A row
-    with a null id is scored and counts as not held out; a document labelled twice counts as toxic if either label
-    says so. Without labels of both kinds every score is the share of toxic ones (0 without any). Other columns are ignored.
+    score is the probability of a toxic label; best the best segment's score (of equals the first's), at words best_start
+    to best_stop; chance the expected number of as good segments in random text of that length; passages all segments
+    whose own chance is at most level, in text order, as (start, stop, score, chance); n_segments counts all maximal
+    segments. Labels of rows whose crc32(doc_id) mod 4 is 2 are never read into the model; nothing but the text enters
+    a score. Null and empty texts have no segment. A row with a null id is scored and counts as not held out; a document
+    labelled twice counts as toxic if either label says so. Without labels of both kinds every score is the share of
+    toxic ones (0 without any). Empty tables give no rows; other columns are ignored.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     marks = _labels(labels, doc_id, toxic)
     found = materialize(scan(slim, fit_lexicon(slim, marks, **options), id_type), "segments")
+    # of equal scores the first: the greatest of (score, -start)
+    best = F.array_max(F.transform("segments", lambda s: F.struct(s["score"].alias("score"), (-s["start"]).alias("back"), s["stop"].alias("stop"))))
+    found = found.withColumns({"n_segments": F.size("segments").cast("long"), **{n: F.coalesce(c, F.lit(0)).cast("long") for n, c in (("best", best["score"]), ("best_start", -best["back"]), ("best_stop", best["stop"]))}})
     times = {r["key"]: float(r["n"]) for r in found.select(F.explode("times")).groupBy("key").agg(F.sum("value").alias("n")).collect()}
     rate = decay(times)
     labelled = found.join(marks, "doc_id")
     clean = labelled.where("toxic = 0").agg(F.count("*"), F.sum((F.col("n_words") + 1) * F.exp(-rate * F.col("best")))).first()
     k = clean[0] / clean[1] if clean[0] else 1.0
-    surely = F.lit(rate) * F.col("best") - F.log(F.lit(k) * (F.col("n_words") + 1))
+    logs = F.log(F.lit(k) * (F.col("n_words") + 1))
+    surely = F.lit(rate) * F.col("best") - logs
     chance = F.exp(-surely)
+    passages = F.filter(F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["score"].alias("score"), F.exp(logs - F.lit(rate) * s["score"]).alias("chance"))), lambda s: s["chance"] <= level)
     # minus the logarithm of P(S >= best), which is 1 where no segment scores
-    strength = F.when(F.col("best") == 0, F.lit(0.0)).when(surely > 15, surely).otherwise(-F.log(-F.expm1(-chance)))
+    alone = F.when(F.col("best") == 0, F.lit(0.0)).when(surely > 15, surely).otherwise(-F.log(-F.expm1(-chance)))
+    found = found.withColumns({"chance": chance, "alone": alone, "passages": passages})
+    found = found.withColumn("strength", F.greatest("alone", together(F.sort_array(F.transform("passages", lambda s: F.lit(rate) * s["score"] - logs), asc=False))))
+    labelled, strength = found.join(marks, "doc_id"), F.col("strength")
     bins = labelled.groupBy(F.round(strength, 1).alias("x")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()
     x, y, n = (np.array([float(r[c]) for r in bins]) for c in ("x", "y", "n"))
     if y.sum() and (n - y).sum():
@@ -192,5 +221,5 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(slope) * strength + offset))))
     return found.select(
         "doc_id", F.coalesce(~training(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"),
-        "n_words", "n_segments", "best", "best_start", "best_stop", chance.alias("chance"),
+        "n_words", "n_segments", "best", "best_start", "best_stop", "chance", "passages",
     )
