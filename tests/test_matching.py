@@ -8,7 +8,8 @@ import random
 import pytest
 
 from weftline.operators.flow import balanced, load_bounds
-from weftline.operators.matching import greedy, phases, rounds, surplus
+from weftline.operators.matching import greedy, ladder, phases, proposals, rounds, surplus
+from weftline.policy import Policy
 
 
 def instance(seed: int):
@@ -59,6 +60,48 @@ def test_greedy_is_stable_and_keeps_caps(block):
             assert sum(c in class_of[r] for q, r, _ in taken if q == p) <= limit[c]
 
 
+def test_offers_in_turn_equal_greedy_where_classes_do_not_cross():
+    for seed in range(200):
+        edges, target, cap, rng = instance(seed)
+        class_of = {r: ["a"] if rng.random() < 0.5 else [] for r in cap}
+        for classes, limit, held in (({}, {}, {}), (class_of, {"a": 1}, {}), (class_of, {"a": 2, ("a", 0): 1}, {("a", 1): 1})):
+            assert sorted(proposals(edges, target, cap, classes, limit, held)) == sorted(greedy(edges, target, cap, classes, limit, held))
+
+
+def test_offers_with_crossing_classes():
+    edges = [(1, "a", 1.0), (1, "e", 0.9), (1, "f", 0.5), (1, "g", 0.4), (2, "x1", 3.0), (2, "x2", 2.0), (2, "a", 1.5)]
+    class_of = {"a": ["j"], "e": ["j", "x"], "f": ["x"], "g": ["x"]}
+    caps, limit = dict.fromkeys(["a", "e", "f", "g", "x1", "x2"], 1), {"j": 1, "x": 2}
+    got = proposals(edges, {1: 3, 2: 3}, caps, class_of, limit)
+    assert [r for p, r, _ in got if p == 1] == ["f", "g"] and sorted(r for p, r, _ in got if p == 2) == ["a", "x1", "x2"]
+    assert blocking(edges, got, {1: 3, 2: 3}, caps, class_of, limit) == [(1, "e")]
+    for seed in range(200):
+        edges, target, cap, rng = instance(seed)
+        class_of = {r: [c for c in "ab" if rng.random() < 0.5] for r in cap}
+        got = proposals(edges, target, cap, class_of, {"a": 1, "b": 2})
+        assert all(sum(q == p for q, _, _ in got) <= n for p, n in target.items()) and all(sum(x == r for _, x, _ in got) <= n for r, n in cap.items())
+        assert all(sum(c in class_of[r] for q, r, _ in got if q == p) <= n for p in target for c, n in (("a", 1), ("b", 2)))
+
+
+def test_ties_stay_with_who_came_first():
+    assert proposals([(1, "a", 0.5), (2, "a", 0.5)], {2: 1, 1: 1}, {"a": 1}) == [(2, "a", 0.5)]
+    assert proposals([], {1: 1}, {}) == [] and proposals([(1, "a", 0.5)], {1: 0}, {"a": 1}) == proposals([(1, "a", 0.5)], {1: 1}, {"a": 0}) == []
+
+
+@pytest.mark.parametrize("mode", ["greedy", "sequential"])
+def test_ladder_releases_in_order(mode):
+    pools = {"senior": {"s"}, "almost_senior": {"t"}, "junior": {"j", "k"}, "out_of_area": set(), "almost_not": {"k"}}
+    edges = [(1, "s", 0.2, False), (1, "j", 0.9, True), (1, "k", 0.8, True), (2, "t", 0.1, False), (2, "p", 0.7, False), (1, "q", 0.05, True)]
+    steps = ladder([1, 2], pools, Policy(per_paper=3, max_juniors=1))
+    caps = dict.fromkeys("sjktpq", 1)
+    picks = phases(edges, steps, caps, mode)
+    assert {(p, r): n for p, r, _, n in picks} == {(1, "s"): "senior anchor (area released)", (2, "t"): "almost-senior anchor", (1, "j"): "fill", (1, "q"): "fill", (2, "p"): "fill (area released)"}
+    short = phases([e for e in edges if e[1] != "q"], steps, caps, mode)
+    assert (1, "k", 0.8, "fill (limits released)") in short
+    more = surplus([*edges, (1, "z", 0.3, False)], picks, {**caps, "z": 1}, base=3, extra=1, class_of=steps[3]["class_of"], limit=steps[3]["limit"], mode=mode)
+    assert more == [(1, "z", 0.3, "surplus (area released)")]
+
+
 def test_rounds_equal_greedy(spark):
     for seed in (3, 11):
         edges, target, cap, _ = instance(seed)

@@ -91,3 +91,24 @@ def collision_suspects(conflicts: DataFrame, key: str, *, least: int = 20, rate:
     """Names that meet many people and are hardly ever declared: likely several persons."""
     rows = conflicts.groupBy(key).agg(F.countDistinct("person_id").alias("people"), F.avg(F.col("declared").cast("double")).alias("declared_rate"))
     return rows.where((F.col("people") >= least) & (F.col("declared_rate") < rate))
+
+
+def relaxation_report(assigned: DataFrame, targets: DataFrame, unrelaxed: tuple[str, ...] = ("senior anchor", "fill", "pinned")) -> DataFrame:
+    """Papers with picks of a released phase, surplus aside, or with open slots: paper_id, relaxed picks and missing."""
+    base = ~F.startswith("phase", F.lit("surplus"))
+    held = assigned.where(base).groupBy("paper_id").agg(F.count_if(~F.col("phase").isin(*unrelaxed)).alias("relaxed"), F.count("*").alias("held"))
+    rows = targets.join(held, "paper_id", "left").select("paper_id", F.coalesce("relaxed", F.lit(0)).alias("relaxed"), F.greatest(F.col("target") - F.coalesce("held", F.lit(0)), F.lit(0)).alias("missing"))
+    return rows.where("relaxed > 0 or missing > 0")
+
+
+def surplus_report(assigned: DataFrame) -> DataFrame:
+    """Papers that got surplus people: paper_id, added, mean score without and with them."""
+    extra = F.startswith("phase", F.lit("surplus"))
+    return assigned.groupBy("paper_id").agg(F.count_if(extra).alias("added"), F.avg(F.when(~extra, F.col("score"))).alias("base_goodness"), F.avg("score").alias("goodness")).where("added > 0")
+
+
+def assignments_report(assigned: DataFrame, people: DataFrame) -> DataFrame:
+    """Per person, idle ones included: person_id, n_papers, their papers from the best score down, mean score."""
+    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "paper_id")))
+    per = assigned.groupBy("person_id").agg(F.count("*").alias("n_papers"), F.transform(order, lambda x: x["paper_id"]).alias("papers"), F.avg("score").alias("mean_score"))
+    return people.select("person_id").distinct().join(per, "person_id", "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
