@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,70 @@ def test_replay_as_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.seq: (r.state, r.anomaly) for r in spark.table("replayed").collect()}
     assert got == {1: ("assigned", None), 2: ("unassigned", None), 3: ("unassigned", "never seen"), 4: ("assigned", None), 5: ("assigned", "assigned twice")}
+
+
+def test_names_in_ids_and_cells(spark):
+    row = spark.sql("select 1 x").select(
+        T.pid_name(F.lit("o/KunleOlukotun")).alias("a"), T.pid_name(F.lit("12/345")).alias("b"), T.pid_name(F.lit("w/WeiZhang12")).alias("c"), T.split_people(F.lit(" A B (or C) / D or E ")).alias("d"),
+        T.split_people(F.lit(None).cast("string")).alias("e"), T.is_everyone(F.lit(" All ")).alias("f"), T.role_label(F.lit("trc")).alias("g"), T.role_label(F.lit("x")).alias("h"), T.split_people(F.lit("Victor Orton")).alias("i"),
+    ).first()
+    assert tuple(row) == ("Kunle Olukotun", None, "Wei Zhang", ["A B", "C", "D", "E"], [], True, "TRC members", None, ["Victor Orton"])
+
+
+def test_token_relation(spark):
+    from weftline.operators.identity import token_relation
+
+    cases = [(["ann", "lee"], ["ann", "lee"], "exact"), (["ann", "lee"], ["ann", "bo", "lee"], "partial"), (["lee"], ["ann", "lee"], None), ([], [], None), (["ann", "schmidt"], ["ann", "schmitt"], "partial"), (["ann", "lee"], ["bo", "kim"], None)]
+    rows = spark.createDataFrame(cases, "a array<string>, b array<string>, want string").select("want", token_relation()("a", "b").alias("got"))
+    assert all(r.want == r.got for r in rows.collect())
+
+
+def test_paper_people(spark):
+    from weftline.operators.conflicts import paper_people
+
+    slots = spark.createDataFrame([(1, "A@x.org ", "Wei Zhang", "X"), (1, "b@y.org", "Bo Kim", "Y"), (1, "b@y.org", "Bo Kim", "Y"), (2, None, "", None)], "paper_id long, email string, name string, affiliation string")
+    declared, known = spark.createDataFrame([("a@x.org", "p1")], "email string, pid string"), spark.createDataFrame([("p1", "Wei Zhang 0012"), ("p1", "W. L. Zhang Li")], "pid string, name string")
+    got = {(r.email, tuple(r.tokens)): r.numbers for r in paper_people(slots, declared, known).collect()}
+    assert got == {("a@x.org", ("wei", "zhang")): ["0012"], ("a@x.org", ("li", "zhang")): [""], ("b@y.org", ("bo", "kim")): []}
+
+
+def test_encoder_sees_each_text_once(spark):
+    from weftline.operators.pairs import encoded
+
+    rows = spark.createDataFrame([(i, "ab" * (i % 7)) for i in range(100)] + [(100, None)], "k long, t string")
+    load = lambda: lambda texts: [[len(x), 1.0] for x in texts]
+    got = {r.k: r.vector for r in encoded(rows, "k", "t", load, batch=8).collect()}
+    assert len(got) == 101 and got[100] == [0.0, 1.0] and all(abs(v[0] / v[1] - 2 * (k % 7)) < 1e-9 for k, v in got.items() if k < 100)
+    assert encoded(rows.limit(0), "k", "t", load).count() == 0
+
+
+def test_pinned_pairs_and_patches(spark):
+    from weftline.operators.matching import outside, seed_used
+    from weftline.operators.pairs import pinned_scores
+
+    pairs = lambda rows: spark.createDataFrame(rows, "paper_id long, person_id string")
+    papers, people = spark.createDataFrame([(1, [1.0, 0.0])], "paper_id long, vector array<double>"), spark.createDataFrame([("a", [0.6, 0.8])], "person_id string, vector array<double>")
+    got = pinned_scores(pairs([(1, "a"), (1, "b"), (2, "a")]), pairs([(2, "a")]), papers, people).collect()
+    assert sorted((r.paper_id, r.person_id, r.affinity, r.missed) for r in got if r.affinity is not None) == [(1, "a", 0.6, False)] and sum(r.missed for r in got) == 1
+    used = seed_used(pairs([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (1, "a")]), pairs([(0, "b")]), pairs([(1, ""), (2, "")]))
+    assert [tuple(r) for r in used.collect()] == [("a", 2)] and [r[0] for r in outside(pairs([(1, "a"), (2, "a")]), pairs([(1, "")])).collect()] == [2]
+
+
+def test_percentiles_of_ties_and_nulls(spark):
+    from weftline.operators.metrics import percentiles
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 2.5, 9.0])) for _ in range(400)] + [("one", 3.0)]
+    got = {r.k: (r.p0, r.p50, r.p95) for r in percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95}).collect()}
+    for k, values in got.items():
+        mine = sorted((v for x, v in rows if x == k), key=lambda v: (v is not None, v or 0))
+        assert values == tuple(mine[round(q * (len(mine) - 1))] for q in (0.0, 0.5, 0.95))
+    assert len(got) == 4
+
+
+def test_layout():
+    from weftline.sources.layout import Layout
+
+    assert Layout("s3://b/").path("report", "x.txt") == "s3://b/outputs/reports/x.txt"
+    with pytest.raises(ValueError):
+        Layout("/r").path("other", "x")

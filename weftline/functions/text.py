@@ -150,3 +150,41 @@ def camel_words(c: Column) -> Column:
 
 def is_false_like(c: Column) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "no", "false", "0")
+
+
+def pid_name(pid: Column) -> Column:
+    """The name inside a named id (area/GivenFamily, a number behind aside), words apart; null for other ids."""
+    inner = F.regexp_extract(pid, r"^[A-Za-z]+/([A-Za-z]+?)\d*$", 1)
+    return F.when(inner != "", F.regexp_replace(inner, r"(?<!^)(?=[A-Z])", " "))
+
+
+def pid_url(pid: Column) -> Column:
+    return F.concat(F.lit("https://dblp.org/pid/"), pid, F.lit(".html"))
+
+
+def split_people(cell: Column) -> Column:
+    """The people a cell names: A or B, A (or B), A/B."""
+    parts = F.split(F.coalesce(cell, F.lit("")), r"(?i)\s*\(\s*or\s+|\)\s*|\s+or\s+|\s*/\s*")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def is_everyone(name: Column) -> Column:
+    """A collaborator line that stands for the whole institution."""
+    return F.lower(F.trim(F.coalesce(name, F.lit("")))) == "all"
+
+
+def role_label(role: Column) -> Column:
+    """A role's name in reports; null for roles that are none."""
+    labels = {"reviewer": "reviewers", "area-chair": "area chairs", "reserve": "reserve reviewers", "trc": "TRC members"}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), role)
+
+
+def document(primary: Column, secondary: Column | None = None, separator: str = "[SEP]") -> Column:
+    """What a text encoder reads: a title, the separator, an abstract (or nothing)."""
+    return F.concat(F.coalesce(primary, F.lit("")), F.lit(separator), F.lit("") if secondary is None else F.coalesce(secondary, F.lit("")))
+
+
+def area_profile(areas: list[Column], keywords: Column, separator: str = "[SEP]") -> Column:
+    """A person's areas, empty ones left out, and keywords as one document."""
+    named = F.filter(F.array(*areas), lambda x: x.isNotNull() & (x != ""))
+    return document(F.array_join(named, ", "), keywords, separator)

@@ -70,3 +70,23 @@ def nominated(lines: Column) -> Column:
     """Addresses of lines 'name / affiliation / address'."""
     parts = F.transform(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda x: F.split(x, "/"))
     return F.filter(F.transform(F.filter(parts, lambda p: F.size(p) >= 3), lambda p: F.lower(F.trim(F.element_at(p, -1)))), lambda e: F.contains(e, F.lit("@")))
+
+
+def paper_people(slots: DataFrame, declared: DataFrame, spellings: DataFrame) -> DataFrame:
+    """(paper_id, tokens, email, name, affiliation, numbers): authors and contacts under their own name and under each
+    spelling of the id they declared; numbers are the homonym numbers of those spellings, empty where none is known.
+
+    slots: paper_id, email, name, affiliation; declared: email, pid; spellings: pid, name. Of slots with equal tokens
+    and address one row stays.
+    """
+    own = slots.withColumn("email", F.lower(F.trim(F.coalesce("email", F.lit("")))))
+    links = declared.select(F.lower(F.trim("email")).alias("email"), "pid").join(spellings.select("pid", F.col("name").alias("spelling")), "pid").groupBy("email").agg(F.collect_set("spelling").alias("_known"))
+    known = own.join(links, "email", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
+    rows = known.select("paper_id", "email", "name", "affiliation", F.explode(F.array_distinct(F.concat(F.array("name"), "_known"))).alias("spelling"), "_known")
+    rows = rows.select("paper_id", "email", "name", "affiliation", token_set(F.col("spelling")).alias("tokens"), F.when(F.array_contains("_known", F.col("spelling")), homonym_number(F.col("spelling"))).alias("number")).where(F.size("tokens") > 0)
+    return rows.groupBy("paper_id", "tokens", "email").agg(F.min("name").alias("name"), F.min("affiliation").alias("affiliation"), F.array_sort(F.collect_set("number")).alias("numbers"))
+
+
+def uncovered(people: DataFrame, key: str, coauthorships: DataFrame) -> DataFrame:
+    """People of whom no co-author is known: that layer cannot see them, and finding nothing does not clear them."""
+    return people.join(coauthorships.select(key).distinct(), key, "left_anti")

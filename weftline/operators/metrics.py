@@ -27,11 +27,25 @@ def upper_median(values: Column) -> Column:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per key from counts, so that no group is gathered in one place."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    total = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value).withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(total)})
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == F.bround(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, q in at.items()])
+    """Nearest-rank percentiles per key, nulls first; a key of any size is spread over tasks.
+
+    Equal values are counted, the counts sorted over ranges of (key, value), and each range's share of a key before it
+    added to the running count inside, so that the value at a place is found without a group in one task.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once: a second run may draw other range bounds.
+    placed = counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()).checkpoint()
+    held = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_held"))  # few rows: a key has one in each of its ranges
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    by = [*keys, "_part"]
+    names = {c: f"_of{k}" for k, c in enumerate(by)}
+    starts = held.select(*[F.col(c).alias(names[c]) for c in by], F.coalesce(F.sum("_held").over(upto), F.lit(0)).alias("_before"), F.sum("_held").over(Window.partitionBy(*keys)).alias("_n"))
+    joined = placed.join(starts, [F.col(c).eqNullSafe(F.col(names[c])) for c in by])
+    running = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = joined.withColumn("_k", running)
+    first = lambda q: F.min(F.when(F.col("_k") > F.bround(F.lit(q) * (F.col("_n") - 1)), F.struct("_k", value)))[value]
+    return ranked.groupBy(*keys).agg(*[first(q).alias(name) for name, q in at.items()])
 
 
 def goodness(assigned: DataFrame) -> DataFrame:
@@ -81,10 +95,13 @@ def country_report(assigned: DataFrame, people_countries: DataFrame, paper_count
 
 
 def conflict_coverage(counts: DataFrame, tier: str, n: str) -> DataFrame:
-    """Per tier: mean and upper median of conflicts per paper, and papers with none."""
-    w, t = Window.partitionBy(tier).orderBy(n), Window.partitionBy(tier)
-    ranked = counts.select(tier, n).withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(t)})
-    return ranked.groupBy(tier).agg(F.avg(n).alias("mean"), F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col(n))).alias("upper_median"), F.count_if(F.col(n) == 0).alias("with_none"))
+    """Per tier: mean and upper median of conflicts per paper, and papers with none; over counts of each number of conflicts."""
+    per = counts.groupBy(tier, n).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(tier).orderBy(n).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = per.withColumns({"_k": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(tier))})
+    median = F.min(F.when(F.col("_k") > F.floor(F.col("_n") / 2), F.struct("_k", n)))[n]
+    known = F.sum(F.when(F.col(n).isNotNull(), F.col("_c")))
+    return ranked.groupBy(tier).agg((F.sum(F.col(n) * F.col("_c")) / known).alias("mean"), median.alias("upper_median"), F.coalesce(F.sum(F.when(F.col(n) == 0, F.col("_c"))), F.lit(0)).alias("with_none"))
 
 
 def collision_suspects(conflicts: DataFrame, key: str, *, least: int = 20, rate: float = 0.1) -> DataFrame:

@@ -166,3 +166,14 @@ from (select c_custkey, ['com', 'uk', 'de', 'io', 'fr', 'info'][c_custkey % 6 +
 def country_from_email(t):
     tld = F.element_at(F.array(*[F.lit(x) for x in ("com", "uk", "de", "io", "fr", "info")]), (F.col("c_custkey") % 6 + 1).cast("int"))
     return t("customer").select("c_custkey", country.country_from_email(F.concat(F.lit("a@b."), tld)).alias("country"))
+
+
+@query(f"""
+with {PAPERS_SQL}, {PEOPLE_SQL}, a as (select p.paper_id, r.person_id, case when (p.paper_id + r.person_id) % 4 = 0 then 0.5 end affinity from papers p join people r on r.person_id between p.paper_id + 1 and p.paper_id + 4)
+select a.paper_id, a.person_id, round(coalesce(affinity, case when a.person_id % 7 > 0 then list_dot_product(p.v, r.v) end), 6) affinity, affinity is null and a.person_id % 7 = 0 missed
+from a join papers p using (paper_id) join people r using (person_id)""")
+def backfill_affinity(t):
+    e = t("embeddings")
+    near = papers_of(e).select("paper_id", F.explode(F.sequence(F.col("paper_id") + 1, F.col("paper_id") + 4)).alias("person_id"))
+    rows = near.join(people_of(e).select("person_id"), "person_id", "left_semi").withColumn("affinity", F.when((F.col("paper_id") + F.col("person_id")) % 4 == 0, 0.5))
+    return pairs.backfill(rows, papers_of(e), people_of(e).where("person_id % 7 > 0")).select("paper_id", "person_id", F.round("affinity", 6).alias("affinity"), "missed")

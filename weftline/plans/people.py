@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import dedup, eventlog, identity, selection, seniority
+from weftline.operators import conflicts, dedup, eventlog, identity, selection, seniority
 from weftline.plans.registry import Registry
 from weftline.policy import Policy
 
@@ -262,3 +262,32 @@ def symmetric_sets(t):
 
     a = t("lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"))
     return symmetric_difference(a.distinct(), t("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k")))
+
+
+@query("""
+select s_suppkey, case when s_suppkey % 3 = 0 then null else regexp_replace(replace(initcap_name, ' ', ''), '([a-z])([A-Z])', '\\1 \\2', 'g') end as name, 'https://dblp.org/pid/' || pid || '.html' url
+from (select s_suppkey, n initcap_name, case when s_suppkey % 3 = 0 then s_suppkey || '/' || s_suppkey else 'o/' || n || s_suppkey end pid
+      from (select s_suppkey, case s_suppkey % 4 when 0 then 'AnnLee' when 1 then 'BoVanDyk' when 2 then 'Kim' else 'JoRay' end n from supplier))""")
+def named_ids(t):
+    rows = t("supplier").select("s_suppkey", F.expr("case s_suppkey % 4 when 0 then 'AnnLee' when 1 then 'BoVanDyk' when 2 then 'Kim' else 'JoRay' end").alias("n"))
+    pid = F.when(F.col("s_suppkey") % 3 == 0, F.concat_ws("/", "s_suppkey", "s_suppkey")).otherwise(F.concat(F.lit("o/"), "n", F.col("s_suppkey").cast("string")))
+    return rows.select("s_suppkey", T.pid_name(pid).alias("name"), T.pid_url(pid).alias("url"))
+
+
+@query("select c_custkey, unnest([c_name, n_name, r_name]) person, unnest([0, 1, 2]) place from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def split_people(t):
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cell = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_name"), F.lit(" (or "), F.col("n_name"), F.lit(") / "), F.col("r_name"))).otherwise(F.concat_ws(" OR ", "c_name", "n_name", "r_name"))
+    return rows.select("c_custkey", F.posexplode(T.split_people(cell)).alias("place", "person"))
+
+
+@query("""
+select p_partkey, concat_ws(', ', nullif(case when p_partkey % 2 = 0 then '' else p_brand end, ''), p_type) || '[SEP]' || coalesce(p_name, '') profile, coalesce(p_name, '') || '[SEP]' title_only from part""")
+def area_profiles(t):
+    brand = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_brand"))
+    return t("part").select("p_partkey", T.area_profile([brand, F.col("p_type"), F.lit(None).cast("string")], F.col("p_name")).alias("profile"), T.document(F.col("p_name")).alias("title_only"))
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+def coverage_gap(t):
+    return conflicts.uncovered(t("customer").select("c_custkey"), "c_custkey", t("orders").select(F.col("o_custkey").alias("c_custkey")))
