@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bitplanes, bwt, decontam, hmm, isoforest, packing, simhash, superkmer, toxicity, wordpiece
+from weftline.llm import bitplanes, bwt, conversations, decontam, hmm, isoforest, packing, simhash, superkmer, toxicity, wordpiece
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -72,6 +72,11 @@ def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digests(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op13_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(_table(spark, sf_dir, "conversations"))
+
+
 def _seed_sql(table: str, key: str) -> str:
     places = lambda offsets: " || ' ' || ".join(f"w[p + {o}]" for o in offsets)
     return " union all ".join(f"select {key}, w, p, {k} m, {m[-1] + 1} span, {places(m)} seed from {table} where p + {m[-1]} <= len(w)" for k, m in enumerate(decontam.MASKS))
@@ -96,3 +101,46 @@ c as (select distinct doc_id, unnest(range(p, p + {superkmer.WINDOW})) pos from
 a as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) pos from d),
 r as (select doc_id, count(*) n, string_agg(word, ' ' order by pos) kept from a anti join c using (doc_id, pos) group by 1)
 select doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join r using (doc_id)"""
+
+#: The table of CRC-32 (reflected polynomial 0xEDB88320), made by its rule.
+_CRC_TABLE_SQL = "list_transform(range(256), lambda k: list_reduce(range(8), lambda c, r: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k))"
+
+
+def _crc_sql(codes: str, table: str) -> str:
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _and_sql(cost: str, edit: str, then: str) -> str:
+    """An edit before what follows it; both as six digits of cost and the letters, so that the least string wins."""
+    return f"case when {then} < '9' then lpad(((substr({then}, 1, 6)::int) + {cost})::varchar, 6, '0') || '{edit}' || substr({then}, 7) else '9' end"
+
+
+def _edits_sql(state: str, then: str) -> str:
+    stays, kept = "case when c in ('S', 'U', 'A', 'O') then 5 else 0 end", {"u": "c in ('u', 'U')", "a": "c in ('a', 'A')"}[then]
+    options = [_and_sql("2", "D", f"r{state}"), f"case when c <> 'x' then {_and_sql(f'1 + {stays}', 'R', f'r{then}')} else '9' end", f"case when {kept} then {_and_sql(stays, 'K', f'r{then}')} else '9' end"]
+    if state == "0":
+        options.append(f"case when c in ('s', 'S') then {_and_sql(stays, 'K', 'rs')} else '9' end")
+    return f"least({', '.join(options)}) f{state}"
+
+
+_INSERTED_SQL = f"least(f0, {_and_sql('5', 'I', 'ru')}) r0, least(fs, {_and_sql('5', 'I', 'ru')}) rs, ru, ra from (select *, least(fu, {_and_sql('5', 'I', 'fa')}) ru, least(fa, {_and_sql('5', 'I', 'fu')}) ra"
+ORACLES["op13_signatures"] = rf"""
+with recursive t as (select {_CRC_TABLE_SQL} t),
+k as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {_crc_sql("list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::bigint)", "t")} % 20 k
+  from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') s from conversations), t),
+d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case k when 3 then 2 else 1 end)) said from k where k <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) p from d),
+f as (select *, case when not regexp_matches(text, '[^ 	-]') then 'b' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'd' when not regexp_matches(text, '[.!?][ 	-]*$') then 't' else '' end as fault,
+  case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as ini from o),
+n as (select *, lag(ini) over (partition by conv_id order by p) || ini pair from f),
+g as (select conv_id, string_agg(case fault when 't' then upper(ini) when '' then ini else 'x' end, '' order by p) sig, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate,
+  count(*) filter (fault = 't') truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal from n group by 1),
+z as (select sig, len(sig)::bigint i, '000000' f0, '9' fs, '9' fu, '000000' fa from (select distinct sig from g)
+  union all select sig, i - 1, {_edits_sql("0", "u")}, {_edits_sql("s", "u")}, {_edits_sql("u", "a")}, {_edits_sql("a", "u")} from (select sig, i, sig[i] c, {_INSERTED_SQL} from z where i > 0))),
+y as (select sig, substr(r0, 1, 6)::bigint as cost, substr(r0, 7) audit from (select sig, {_INSERTED_SQL} from z where i = 0))),
+a as (select conv_id, audit, unnest(range(1, len(audit) + 1)) q from g join y using (sig)),
+e as (select conv_id, q, audit[q] edit, count(*) filter (audit[q] <> 'I') over w p, count(*) filter (audit[q] <> 'D') over w place from a window w as (partition by conv_id order by q)),
+j as (select e.*, f.role, f.text, max(case when place = 1 and edit = 'K' and f.ini = 's' then 1 else 0 end) over (partition by e.conv_id) system from e left join f on e.conv_id is not distinct from f.conv_id and e.p = f.p and edit <> 'I' where edit <> 'D'),
+r as (select conv_id, sha256(string_agg((case when edit = 'K' then role when (place - system) % 2 = 1 then 'user' else 'assistant' end) || ':' || coalesce(text, ''), chr(10) order by place)) h from j group by 1)
+select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(cost, 0) as cost, coalesce(audit, '') audit, coalesce(h, sha256('')) repaired_sha256
+from (select distinct conv_id from conversations) c left join g on c.conv_id is not distinct from g.conv_id left join y using (sig) left join r on c.conv_id is not distinct from r.conv_id"""
