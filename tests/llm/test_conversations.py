@@ -33,7 +33,9 @@ def brute(letters: str) -> tuple[int, str]:
                     cost += 5 * letters[i].isupper()
                 if e == "K":
                     role = letters[i].lower()
-                    legal &= role == then or (role == "s" and before == "")
+                    if role != then and (role != "s" or before != ""):
+                        legal = False
+                        break
                     before = role
                 elif e != "D":
                     before = then
