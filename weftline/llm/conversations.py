@@ -31,7 +31,7 @@ FAULTS = ("blank", "duplicate", "truncated")
 #: The role that the grammar (s?(ua)+)? has after each: what a rerole or an insertion makes there.
 NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
 ROLES = {"u": "user", "a": "assistant"}
-STRIDE, SALTS, BATCH_ROWS, BATCH_CHARS = 200, 16, 1000, 1 << 22
+STRIDE, SALTS, BATCH_ROWS, BATCH_CHARS = 50, 16, 1000, 1 << 22
 _NEVER = (float("inf"), "")
 
 
