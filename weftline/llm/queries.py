@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bitplanes, bwt, conversations, decontam, hmm, isoforest, packing, simhash, superkmer, toxicity, wordpiece
+from weftline.llm import bitplanes, bwt, conversations, decontam, hmm, isoforest, packing, resampling, simhash, superkmer, toxicity, wordpiece
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -72,6 +72,11 @@ def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digests(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(_table(spark, sf_dir, "conversations"))
@@ -130,7 +135,9 @@ k as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
   from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') s from conversations), t),
 d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case k when 3 then 2 else 1 end)) said from k where k <> 0),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) p from d),
-f as (select *, case when not regexp_matches(text, '[^ 	-]') then 'b' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'd' when not regexp_matches(text, '[.!?][ 	-]*$') then 't' else '' end as fault,
+f as (select *, case when not regexp_matches(text, '[^ 	-
+]') then 'b' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'd' when not regexp_matches(text, '[.!?][ 	-
+]*$') then 't' else '' end as fault,
   case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as ini from o),
 n as (select *, lag(ini) over (partition by conv_id order by p) || ini pair from f),
 g as (select conv_id, string_agg(case fault when 't' then upper(ini) when '' then ini else 'x' end, '' order by p) sig, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate,
@@ -144,3 +151,21 @@ j as (select e.*, f.role, f.text, max(case when place = 1 and edit = 'K' and f.i
 r as (select conv_id, sha256(string_agg((case when edit = 'K' then role when (place - system) % 2 = 1 then 'user' else 'assistant' end) || ':' || coalesce(text, ''), chr(10) order by place)) h from j group by 1)
 select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(cost, 0) as cost, coalesce(audit, '') audit, coalesce(h, sha256('')) repaired_sha256
 from (select distinct conv_id from conversations) c left join g on c.conv_id is not distinct from g.conv_id left join y using (sig) left join r on c.conv_id is not distinct from r.conv_id"""
+
+_GRAMS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_BYTES_SQL = "list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1] || h[2 * i + 2])::bigint)"
+ORACLES["op11_resampling"] = f"""
+with t as materialized (select {_CRC_TABLE_SQL} t),
+d as (select row_number() over () r, doc_id, {_GRAMS_SQL} w from documents), b as (select {_GRAMS_SQL} w from benchmark),
+df as (select r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) f from d),
+bf as (select unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) f from b),
+dc as (select r, f, count(*) n from df group by all), bc as (select f, count(*) n from bf group by all),
+k as (select f, {_crc_sql(_BYTES_SQL, "t")} % {resampling.BUCKETS} k from (select f, hex(encode(f)) h from (select f from dc union select f from bc)), t),
+s as (select k, sum(n) s from dc join k using (f) group by 1), u as (select k, sum(n) t from bc join k using (f) group by 1),
+g as (select k.k, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + {resampling.BUCKETS})::double / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from u) + {resampling.BUCKETS})::double)))::bigint gain
+  from (select unnest(range({resampling.BUCKETS})) k) k left join s using (k) left join u using (k)),
+w as (select r, floor(sum(n * gain) / sum(n))::bigint weight from dc join k using (f) join g using (k) group by 1),
+x as (select r, doc_id, len(w)::bigint n_words, (len(w) + greatest(len(w) - 1, 0))::bigint n_features, coalesce(weight, 0) weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('{resampling.SEED}:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296)))::bigint score from d left join w using (r)),
+y as (select *, row_number() over (partition by n_words >= {resampling.MIN_WORDS} order by score desc, doc_id nulls first) p, count(*) over (partition by n_words >= {resampling.MIN_WORDS}) c from x)
+select doc_id, n_features, weight, score, case when n_words >= {resampling.MIN_WORDS} and p <= {resampling.PERCENT} * c // 100 then p end as rank, n_words from y"""
