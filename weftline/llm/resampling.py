@@ -44,9 +44,9 @@ def words_of(text: bytes) -> bytes:
 def pieces_of(words: bytes, limit: int = SLICE) -> Iterator[tuple[bytes, bytes | None]]:
     """Cut words into pieces near limit bytes; each but the first begins with the last word of the one before, given too."""
     start, lead = 0, None
-    while len(words) - start > limit and (stop := words.find(b" ", start + limit)) > 0:
+    while len(words) - start > limit and (stop := words.find(b" ", start + max(limit, len(lead or b"") + 1))) > 0:
         yield words[start:stop], lead
-        start = words.rfind(b" ", start, stop) + 1
+        start = max(start, words.rfind(b" ", start, stop) + 1)
         lead = words[start:stop]
     yield words[start:], lead
 
