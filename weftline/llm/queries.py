@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bitplanes, bwt, conversations, decontam, hmm, isoforest, packing, resampling, simhash, superkmer, toxicity, wordpiece
+from weftline.llm import bitplanes, bwt, conversations, decontam, hmm, isoforest, packing, pii, resampling, simhash, superkmer, toxicity, wordpiece
 from weftline.session import ship
 
 QUERIES: dict = {}
@@ -77,6 +77,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(_table(spark, sf_dir, "conversations"))
