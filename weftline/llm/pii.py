@@ -147,7 +147,7 @@ def candidates(text: str) -> list[Span]:
 
 
 FEATURES = (
-    "kind_email", "kind_ip", "kind_card", "kind_phone", "digits", "length", "letters", "groups", "shortest", "longest", "first_group", "last_group", "luhn", "largest",
+    "kind_email", "kind_ip", "kind_card", "kind_phone", "digits", "length", "letters", "groups", "shortest", "longest", "first_group", "last_group", "luhn", "octets",
     "plus", "double_zero", "paren", "brackets", "blanks", "dashes", "dots", "slashes", "at_sign", "at_word", "dot_word", "labels", "last_label", "last_letters", "local", "local_digits",
     "before_kind", "after_kind", "digits_before", "digits_after", "cue", "money", "equals",
 )
@@ -169,7 +169,7 @@ def features(text: str, span: Span) -> list[float]:
     local = said[: at.start()] if at else ""
     return [
         *(float(kind == k) for k in range(4)), len(digits), len(said), sum(c.isalpha() for c in said), len(groups), min(groups), max(groups), groups[0], groups[-1],
-        luhn(digits), max((min(int(x[:6]), 9999) for x in _DIGITS.findall(said)), default=0), said.startswith("+"), said.startswith("00"), "(" in said, sum(said.count(c) for c in "[]{}<>()"),
+        luhn(digits), all(len(x) < 4 and int(x) < 256 for x in _DIGITS.findall(said)), said.startswith("+"), said.startswith("00"), "(" in said, sum(said.count(c) for c in "[]{}<>()"),
         sum(c.isspace() for c in said), said.count("-"), said.count("."), said.count("/") + said.count("_"), "@" in said or "＠" in said, bool(at and at[0].strip().lower() == "at"),
         len(re.findall("(?i)\\bdot\\b", said)), len(labels), len(last), last.isalpha(), len(local), len(_digits(local)),
         _near(before[-1:]), _near(after[:1]), len(_digits(before[-12:])), len(_digits(after[:12])), len(_CUES.findall(before)), sum(c in _MONEY for c in before[-3:] + after[:3]), before.rstrip()[-1:] in ("=", ":"),
@@ -207,7 +207,9 @@ def _decoy(kind: int, said: str, way: int) -> str:
         words = domain.split(".")
         return (f"seen at {domain}", f"is at {words[-1]}.{words[0]}", f"look at {words[0]} dot", f"Anne at {domain}", f"open at {n % 12}.{two}", f"v{n % 9} @ {n % 90}.{two}", f"or at {domain}", f"{two} @ {n % 100}.{n % 90 + 10}")[way % 8]
     if kind == 1:
-        return (f"{n % 700 + 256}[.]{n % 90}[.]{two}[.]{n % 7}", f"{n % 9} . {n % 8} . {n % 700 + 300} . {n % 6}", f"{n % 9} dot {n % 10}", f"{n % 700 + 256} dot {n % 600 + 300} dot {two} dot 1")[way % 4]
+        parts = said.split(".")
+        parts[n % 4] = str(256 + n % 700)
+        return _disguised(1, ".".join(parts), way >> 1)
     odd = "".join(str((n >> k) % 10) for k in range(16))
     odd = odd[:-1] + next(c for c in "0123456789" if not luhn(odd[:-1] + c))
     if kind == 2:
