@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize, partitions, slices, texts_of, tidied
 
 BUCKETS, MIN_WORDS, PERCENT, SEED, SCALE = 10_000, 20, 25, 7, 1000
-SLICE = 1 << 21  # bytes of text that DuckDB sees at a time
+SLICE = 1 << 19  # bytes of text that DuckDB sees at a time
 MEMORY = "512MB"
 _LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _CAPITALS = bytes(range(65, 91))
