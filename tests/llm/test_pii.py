@@ -67,7 +67,7 @@ def test_rules_against_plain_patterns():
 
 
 def test_disguises_are_found_and_decoys_are_not(model):
-    hidden = ["thing31 at mail4 dot example dot com", "le.on77[at]mail2[dot]example[dot]com", "ein12＠mail1.example.com", "10[.]20[.]30[.]40", "192 . 168 . 7 . 9", "(555) 555-1234", "001 (555) 555-1234"]
+    hidden = ["thing31 at mail4 dot example dot com", "le.on77[at]mail2[dot]example[dot]com", "ein12＠mail1.example.com", "10[.]20[.]30[.]40", "192 . 168 . 7 . 9", "(555) 555-1234"]
     for said in hidden:
         text = f"the of and {said} in thing"
         assert [text[a:b] for _, a, b in model.added(text, pii.base_spans(text))] == [said]
