@@ -1,8 +1,7 @@
 """Capacity-constrained matching: greedy by score, which is the stable assignment when both sides rank by one score.
 
-Two forms with equal results, and one of its own order. rounds() is distributed: an edge that is the best live one of both its ends is taken,
-ends without room lose their edges, until no edge is left. kernel() runs the same rule in one task over a bounded
-number of edges, for the many small solves of the phases. proposals() lets papers offer in turn, which differs from the
+Two forms with equal results, and one of its own order. rounds() (in rounds.py) is distributed. kernel() runs the same rule in one task over
+a bounded number of edges, for the many small solves of the phases. proposals() lets papers offer in turn, which differs from the
 greedy result only where a person is in several classes that cross.
 """
 
@@ -11,9 +10,10 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.rounds import blocking_pairs, rounds  # noqa: F401
 from weftline.policy import Policy
 
 KERNEL_EDGES = 2_000_000
@@ -148,42 +148,6 @@ def kernel(edges: DataFrame, targets: DataFrame, caps: DataFrame, members: DataF
     return edges.select("paper_id", "person_id", "score").groupBy(F.lit("all").alias("g")).applyInPandas(run, f"paper_id {kinds['paper_id']}, person_id {kinds['person_id']}, score double")
 
 
-def rounds(edges: DataFrame, targets: DataFrame, caps: DataFrame, *, most: int = 10_000) -> DataFrame:
-    """The same assignment without classes, by rounds of locally dominant edges, each checkpointed to the shared folder.
-
-    Raises if edges are left after the most rounds.
-    """
-    order = [F.desc("score"), F.asc("paper_id"), F.asc("person_id")]
-    live = edges.select("paper_id", "person_id", "score").join(targets.where("target > 0"), "paper_id").join(caps.where("cap > 0"), "person_id").checkpoint()
-    taken = None
-    for _ in range(most):
-        ranked = live.withColumns({"_p": F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)), "_r": F.row_number().over(Window.partitionBy("person_id").orderBy(*order))})
-        # The first target edges of a paper that are also among the first cap of their person are in every greedy result.
-        won = ranked.where((F.col("_p") <= F.col("target")) & (F.col("_r") <= F.col("cap")))
-        safe = won.select("paper_id", "person_id", "score").checkpoint()
-        if not safe.limit(1).count():
-            return taken if taken is not None else edges.select("paper_id", "person_id", "score").limit(0)
-        taken = safe if taken is None else taken.unionByName(safe)
-        used_p, used_r = safe.groupBy("paper_id").agg(F.count("*").alias("_up")), safe.groupBy("person_id").agg(F.count("*").alias("_ur"))
-        live = (
-            live.join(safe.select("paper_id", "person_id"), ["paper_id", "person_id"], "left_anti").join(used_p, "paper_id", "left").join(used_r, "person_id", "left")
-            .select("paper_id", "person_id", "score", (F.col("target") - F.coalesce("_up", F.lit(0))).alias("target"), (F.col("cap") - F.coalesce("_ur", F.lit(0))).alias("cap"))
-            .where("target > 0 and cap > 0").checkpoint()
-        )
-    raise RuntimeError(f"edges are left after {most} rounds")
-
-
-def blocking_pairs(edges: DataFrame, assigned: DataFrame, targets: DataFrame, caps: DataFrame) -> DataFrame:
-    """Edges that both ends would rather have than what they got: 0 rows for a stable assignment without classes."""
-    got_p = assigned.groupBy("paper_id").agg(F.count("*").alias("n_p"), F.min("score").alias("least_p"))
-    got_r = assigned.groupBy("person_id").agg(F.count("*").alias("n_r"), F.min("score").alias("least_r"))
-    free = edges.join(assigned.select("paper_id", "person_id"), ["paper_id", "person_id"], "left_anti")
-    both = free.join(targets, "paper_id").join(caps, "person_id").join(got_p, "paper_id", "left").join(got_r, "person_id", "left")
-    wants_p = (F.col("target") > 0) & ((F.coalesce("n_p", F.lit(0)) < F.col("target")) | (F.col("score") > F.col("least_p")))
-    wants_r = (F.col("cap") > 0) & ((F.coalesce("n_r", F.lit(0)) < F.col("cap")) | (F.col("score") > F.col("least_r")))
-    return both.where(wants_p & wants_r).select("paper_id", "person_id", "score")
-
-
 def phases(edges: list[tuple], steps: list[dict], cap: dict, mode: str = "greedy") -> list[tuple]:
     """Solve step after step over what the earlier ones left; earlier picks are never undone.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="weftline-"))
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/weftline-{tag}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package (a few small source files), once for each Spark application."""
     checkpoint_dir(spark)
