@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import diffs, flow, matching, metrics
+from weftline.operators import diffs, flow, matching, metrics, patch
 from weftline.plans.evidence import GATED_SQL, PAPERS_SQL, PEOPLE_SQL, scored_of
 from weftline.plans.registry import Registry
 from weftline.policy import Policy
@@ -95,6 +95,82 @@ def stability_check(t):
     return papers.crossJoin(over).crossJoin(matching.blocking_pairs(edges, got, targets, caps).agg(F.count("*").cast("int").alias("blocking")))  # single rows
 
 
+#: Three classes by person_id: a holds c, and b crosses both.
+CLASSES_SQL = "m as (select person_id r, unnest(list_filter(['a', 'b', 'c'], lambda c: case c when 'a' then person_id % 4 = 1 when 'b' then person_id % 3 = 0 else person_id % 8 = 1 end)) c from people), l(c, most) as (values ('a', 1), ('b', 2), ('c', 1))"
+
+
+def _classes(edges):
+    r = F.col("person_id")
+    inside = F.array_compact(F.array(F.when(r % 4 == 1, "a"), F.when(r % 3 == 0, "b"), F.when(r % 8 == 1, "c")))
+    members = edges.select("person_id").distinct().select("person_id", F.explode(inside).alias("class_id"))
+    return members, edges.sparkSession.createDataFrame([("a", None, 1), ("b", None, 2), ("c", None, 1)], "class_id string, paper_id long, most int")
+
+
+@query()
+def class_rounds(t):
+    """Every gated pair matched in rounds under limits of nested and crossing classes. No SQL walks the order of edges."""
+    edges = _edges(t)
+    return matching.rounds(edges, _targets(edges, 4), _caps(edges, 2), *_classes(edges)).select("paper_id", "person_id")
+
+
+@query(f"""with {GATED_SQL}, {CLASSES_SQL},
+a as (select paper_id p, person_id r, affinity s from (select *, row_number() over (partition by paper_id order by affinity desc, person_id) rk from scored) where rk between 2 and 4),
+np as (select p, count(*) n, min(s) least from a group by 1), nr as (select r, count(*) n, min(s) least from a group by 1),
+fl as (select p, c from a join m using (r) join l using (c) group by p, c, most having count(*) >= most),
+w as (select paper_id p, person_id r, affinity s from scored left join nr on person_id = r where not exists (select 1 from a where a.p = paper_id and a.r = person_id) and (coalesce(n, 0) < 2 or affinity > least)),
+f as (select p, r, list(c) fs from w join m using (r) join fl using (p, c) group by 1, 2), h as (select p, a.r, s, list(c) cs from a left join m using (r) group by 1, 2, 3),
+ok as (select distinct w.p, w.r from w join f using (p, r) join h on h.p = w.p and h.s < w.s and list_has_all(h.cs, f.fs))
+select w.p paper_id, w.r person_id, w.s score from w left join f using (p, r) left join np using (p) left join ok using (p, r) where case when fs is null then coalesce(n, 0) < 4 or w.s > least else ok.p is not null end""")
+def class_blocking(t):
+    """Pairs that block the assignment of each paper to its second to fourth best, under the classes of class_rounds."""
+    from weftline.operators.pairs import top_k
+
+    edges = _edges(t).checkpoint()
+    given = top_k(edges, "paper_id", [F.desc("score"), F.asc("person_id")], 4).where("rank > 1").select("paper_id", "person_id", "score")
+    return matching.blocking_pairs(edges, given, _targets(edges, 4), _caps(edges, 2), *_classes(edges))
+
+
+#: The four best of each paper; who leaves, who is on the roster, and which papers are left.
+PATCH_SQL = f"""{GATED_SQL}, b as (select paper_id p, person_id r from (select *, row_number() over (partition by paper_id order by affinity desc, person_id) rk from scored) where rk <= 4 and paper_id % 3 <> 0),
+x as (select p, r, r % 10 = 1 gone, r % 17 <> 3 and r % 10 <> 1 here, bool_or(r % 10 = 1) over (partition by p) hurt from b)"""
+
+
+def _patch_input(t):
+    from weftline.operators.pairs import top_k
+
+    edges = _edges(t).checkpoint()
+    everyone = edges.select("person_id").distinct()
+    baseline = top_k(edges, "paper_id", [F.desc("score"), F.asc("person_id")], 4).select("paper_id", "person_id")
+    people = everyone.where("person_id % 17 <> 3 and person_id % 10 <> 1").withColumn("cap", F.lit(6))
+    return edges, baseline, everyone.where("person_id % 10 = 1"), edges.select("paper_id").distinct().where("paper_id % 3 <> 0"), people
+
+
+@query(f"with {PATCH_SQL} select p paper_id, r person_id, case when hurt then 'survivor' else 'kept' end origin from x where not hurt or (here and not gone)")
+def patch_frozen(t):
+    """What a patch may not touch."""
+    return patch.frozen(*_patch_input(t)[1:])
+
+
+@query(f"with {PATCH_SQL} select p paper_id, count(*) size, count(*) filter (where gone or not here) target from x where hurt group by 1")
+def patch_openings(t):
+    """The papers that a patch fills, and how many places each has open."""
+    return patch.openings(*_patch_input(t)[1:])
+
+
+@query(f"with {PATCH_SQL}, e as (select r from people_ids) select r person_id, 6 - count(p) filter (where not gone) cap from e left join x using (r) where r % 17 <> 3 and r % 10 <> 1 group by 1".replace("from people_ids", "from (select distinct person_id r from scored)"))
+def patch_room(t):
+    """What each person can take in a patch next to all they hold."""
+    return patch.room_left(*_patch_input(t)[1:])
+
+
+@query()
+def patch_run(t):
+    """The patched assignment, with what is new; limits on classes as in class_rounds. Its frozen part has SQL, its picks are solved."""
+    edges, baseline, removed, papers, people = _patch_input(t)
+    able = edges.join(people.select("person_id"), "person_id", "left_semi")
+    return patch.patch(baseline, removed, papers, people, able, *_classes(edges))
+
+
 @query()
 def balanced_flow(t):
     """All papers to the people whose id ends in 1 of 50, loads within a tenth of the mean, greatest total. Too slow in SQL."""
