@@ -116,6 +116,14 @@ def test_homonyms_and_windows(spark):
     assert {r.paper_id: r.match for r in conflicts.coauthor_conflicts(authors, index).collect()} == {2: "exact", 3: "partial"}
 
 
+def test_country_names_of_any_length_and_outranked_regions(spark):
+    names = [("congo", "CG", None), ("democratic republic of the congo", "CD", None), ("saint vincent and the grenadines", "VC", None), ("saint vincent", "XX", None), ("a", "CN", "HK"), ("b", "HK", "CN")]
+    names = spark.createDataFrame(names, "name string, country string, outranks string")
+    rows = spark.createDataFrame([(1, "Lab, Democratic Republic of the Congo"), (2, "Saint Vincent and the Grenadines"), (3, "x b y a"), (4, ""), (5, None), (6, "of the Congo")], "k long, t string")
+    assert {r.k: r.country for r in country.country_from_text(rows, "k", "t", names).collect()} == {1: "CD", 2: "VC", 3: "CN", 6: "CG"}
+    assert country.country_from_text(rows, "k", "t", names.limit(0)).count() == 0
+
+
 def test_country_from_text(spark):
     names = spark.createDataFrame([("Korea", "KR", None), ("China", "CN", None), ("Hong Kong", "HK", "CN")], "name string, country string, outranks string")
     rows = spark.createDataFrame([(1, "Univ of Hong Kong, China"), (2, "KAIST Korea"), (3, "Nowhere")], "k int, t string")

@@ -177,3 +177,43 @@ def backfill_affinity(t):
     near = papers_of(e).select("paper_id", F.explode(F.sequence(F.col("paper_id") + 1, F.col("paper_id") + 4)).alias("person_id"))
     rows = near.join(people_of(e).select("person_id"), "person_id", "left_semi").withColumn("affinity", F.when((F.col("paper_id") + F.col("person_id")) % 4 == 0, 0.5))
     return pairs.backfill(rows, papers_of(e), people_of(e).where("person_id % 7 > 0")).select("paper_id", "person_id", F.round("affinity", 6).alias("affinity"), "missed")
+
+
+_PLACES = (
+    ("congo", "CG", None), ("democratic republic of the congo", "CD", None), ("hong kong", "HK", "CN"), ("china", "CN", None), ("korea", "KR", None), ("france", "FR", None),
+    ("saint vincent", "XX", None), ("saint vincent and the grenadines", "VC", None),
+)
+_AFFILIATIONS = ("Institute, Democratic Republic of the Congo", "Hong Kong University of Science, China", "Korea Advanced Institute, Daejeon, Korea", "The Hand Lab", "Blue Universit\u00e9", "Nowhere College")
+_NOTES = (("p1", 0, "Red Lab, France"), ("p1", 1, "Blue University, Saint Vincent and the Grenadines"), ("p2", 0, "Blue Lab, Congo"), ("p3", 0, "Green, China"))
+_rows = lambda rows: ", ".join("(" + ", ".join("null" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+_NORMAL = "regexp_replace(trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
+
+
+def _named_sql(source: str, text: str) -> str:
+    """Of each k of source the country that its text names."""
+    return f"""(with x as (select k, {_NORMAL.format(text)} t from {source}), w as (select k, string_split(t, ' ') w from x),
+m as (select k, country, outranks, len(parts) n, i from (select *, unnest(range(1, len(w) + 1)) i from w) join (select string_split(name, ' ') parts, * from n) on w[i:i + len(parts) - 1] = parts),
+b as (select *, country in (select outranks from m y where y.k = m.k and outranks is not null) beaten from m)
+select k, country from (select *, row_number() over (partition by k order by beaten, n desc, i desc) r from b) where r = 1)"""
+
+
+@query(f"""
+with n(name, country, outranks) as (values {_rows(_PLACES)}), notes(pid, place, note) as (values {_rows(_NOTES)}),
+p as (select c_custkey k, [{", ".join(f"'{x}'" for x in _AFFILIATIONS)}][c_custkey % 6 + 1] a, 'u@x.' || ['de', 'com', 'uk', 'jp'][c_custkey // 6 % 4 + 1] e, 'p' || c_custkey % 5 pid, c_custkey % 7 = 0 told from customer),
+s as (select k, note, place, len(list_filter(list_distinct(string_split({_NORMAL.format("note")}, ' ')), lambda x: x not in {country.NOTE_WORDS} and list_contains(string_split({_NORMAL.format("a")}, ' '), x))) c from p join notes using (pid)),
+q as (select k, note from (select *, row_number() over (partition by k order by c desc, place) r from s where c > 0) where r = 1),
+f as (select p.k, case when told then 'BR' end account, case when a = 'The Hand Lab' then 'CH' end hand, nt.country notes, tx.country affiliation, case when e like '%.de' then 'DE' when e like '%.uk' then 'GB' when e like '%.jp' then 'JP' end email
+  from p left join {_named_sql("q", "note")} nt on nt.k = p.k left join {_named_sql("p", "a")} tx on tx.k = p.k)
+select k, coalesce(account, hand, notes, affiliation, email) country, case when account is not null then 'account' when hand is not null then 'hand' when notes is not null then 'notes' when affiliation is not null then 'affiliation' when email is not null then 'email' else 'unresolved' end layer from f""")
+def country_layers(t):
+    """Where each customer is by account, curated table, page notes, affiliation and address, with the layer that told."""
+    k = F.col("c_custkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    people = t("customer").select(
+        k.alias("k"), pick(_AFFILIATIONS, k % 6).alias("affiliation"), F.concat(F.lit("u@x."), pick(("de", "com", "uk", "jp"), F.expr("c_custkey div 6 % 4"))).alias("email"),
+        F.concat(F.lit("c"), k.cast("string"), F.lit("@y")).alias("account_email"), F.concat(F.lit("p"), (k % 5).cast("string")).alias("pid"),
+    )
+    spark = people.sparkSession
+    accounts = people.where("k % 7 = 0").select(F.upper("account_email").alias("email"), F.lit("br").alias("country"))
+    hand = spark.createDataFrame([("hand lab", "CH")], "affiliation string, country string")
+    return country.resolve_countries(people, "k", spark.createDataFrame(_PLACES, "name string, country string, outranks string"), accounts=accounts, hand=hand, notes=spark.createDataFrame(_NOTES, "pid string, place int, note string"))
