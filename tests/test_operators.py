@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import conflicts, country, diffs, eventlog, identity
+from weftline.operators import conflicts, country, diffs, eventlog, identity, metrics
 from weftline.policy import Policy
 from weftline.sources import connectors, readers, sinks
 
@@ -207,15 +207,26 @@ def test_policy():
     assert Policy().per_paper == 5
 
 
-def test_replay_as_a_stream(spark, tmp_path):
-    from weftline.streaming.replay import replay_stream
+def test_rosters_are_completed_with_where_each_field_is_from(spark):
+    from weftline.operators.rosters import complete
 
-    spark.createDataFrame([(1, 1, "assigned"), (1, 2, "unassigned"), (2, 3, "unassigned"), (1, 4, "assigned"), (1, 5, "assigned")], "key long, seq long, verb string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = replay_stream(spark.readStream.schema("key long, seq long, verb string").parquet(f"{tmp_path}/in"))
-    q = stream.writeStream.format("memory").queryName("replayed").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.seq: (r.state, r.anomaly) for r in spark.table("replayed").collect()}
-    assert got == {1: ("assigned", None), 2: ("unassigned", None), 3: ("unassigned", "never seen"), 4: ("assigned", None), 5: ("assigned", "assigned twice")}
+    schema = "k string, name string, area string, form string"
+    form = spark.createDataFrame([("a", "Ann", " ", "x"), ("a", "Abe", None, "x"), ("b", None, "arch", "x"), (None, "N", "n", "x")], schema)
+    tagged = spark.createDataFrame([("b",), ("c",), ("c",), ("d",)], "k string")
+    one = spark.createDataFrame([("b", "Bob", "z", ""), ("c", "", "mem", ""), ("x", "Xa", "q", "")], schema)
+    two = spark.createDataFrame([("a", "Zed", "net", ""), ("c", "Cy", "other", "")], schema)
+    got = {r.k: tuple(r)[1:] for r in complete(form, tagged, [("one", one), ("two", two)], "k", ["name", "area"]).collect()}
+    assert got == {
+        "a": ("form", "Abe", "form", "net", "two", []), "b": ("both", "Bob", "one", "arch", "form", []),
+        "c": ("tagged", "Cy", "two", "mem", "one", []), "d": ("tagged", None, None, None, None, ["name", "area"]),
+    }
+    assert complete(form.limit(0), tagged.limit(0), [("one", one)], "k", ["name"]).count() == 0
+
+
+def test_rollups_equal_separate_sums(spark):
+    rows = spark.createDataFrame([("r", None, 1), ("r", "t", 2), (None, "t", 4), (None, None, 8)], "role string, tier string, v int")
+    got = {tuple(r) for r in metrics.rollups(rows, ["role", "tier"], [["role", "tier"], ["role"], []], {"v": F.sum("v")}).collect()}
+    assert got == {("role+tier", "r", None, 1), ("role+tier", "r", "t", 2), ("role+tier", None, "t", 4), ("role+tier", None, None, 8), ("role", "r", None, 3), ("role", None, None, 12), ("all", None, None, 15)}
 
 
 def test_names_in_ids_and_cells(spark):

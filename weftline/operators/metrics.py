@@ -129,3 +129,16 @@ def assignments_report(assigned: DataFrame, people: DataFrame) -> DataFrame:
     order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "paper_id")))
     per = assigned.groupBy("person_id").agg(F.count("*").alias("n_papers"), F.transform(order, lambda x: x["paper_id"]).alias("papers"), F.avg("score").alias("mean_score"))
     return people.select("person_id").distinct().join(per, "person_id", "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
+
+
+def rollups(rows: DataFrame, dims: list[str], grains: list[list[str]], aggs: dict[str, Column]) -> DataFrame:
+    """grain (its columns joined by +, all for none), dims (null where rolled up) and aggs, all grains in one pass.
+
+    A null of the data stays apart from a rolled-up one: the grain tells them. Grains are among dims; an empty table has
+    no rows, but for the grain of all.
+    """
+    sets = [[F.col(d) for d in g] for g in grains]
+    bits = [F.grouping(d) for d in dims]
+    grain = F.concat_ws("+", *[F.when(b == 0, F.lit(d)) for d, b in zip(dims, bits)])
+    out = rows.groupingSets(sets, *dims).agg(grain.alias("grain"), *[c.alias(n) for n, c in aggs.items()])
+    return out.select(F.coalesce(F.nullif("grain", F.lit("")), F.lit("all")).alias("grain"), *dims, *aggs)

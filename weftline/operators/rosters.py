@@ -94,3 +94,28 @@ def agreement(found: DataFrame, labelled: DataFrame, key: str, value: str) -> Da
 
 def canonical_spelling(people: DataFrame, area: str, position: str) -> DataFrame:
     return people.groupBy(F.lower(area).alias("key")).agg(F.min_by(area, position).alias("area"))
+
+
+def blank_as_null(c: Column) -> Column:
+    return F.when(F.trim(c) != "", c)
+
+
+def complete(form: DataFrame, tagged: DataFrame, donors: list[tuple[str, DataFrame]], key: str, fields: list[str]) -> DataFrame:
+    """One row for each key of the form or the tagged accounts: origin (both, form, tagged), each field with <field>_from,
+    and missing, the fields that nobody has.
+
+    A field comes from the form if it says something there, else from the first donor that has one; of several rows of
+    a source the least value. Blank is nothing. donors only lend fields to who is on the roster already; all sources are
+    brought to a row a key in one aggregation.
+    """
+    named = [("form", form), *donors]
+    rows = None
+    for place, (name, source) in enumerate(named):
+        part = source.where(F.col(key).isNotNull()).select(F.col(key), F.lit(place).alias("_place"), F.lit(name).alias("_name"), *[blank_as_null(F.col(f)).cast("string").alias(f) for f in fields])
+        rows = part if rows is None else rows.unionByName(part)
+    best = lambda f: F.min(F.when(F.col(f).isNotNull(), F.struct("_place", F.col(f), "_name"))).alias(f"_{f}")
+    known = rows.groupBy(key).agg(*[best(f) for f in fields])
+    on = reconcile(form.where(F.col(key).isNotNull()), tagged.where(F.col(key).isNotNull()), key)
+    origin = F.when(F.col("side") == "left_only", "form").when(F.col("side") == "right_only", "tagged").otherwise("both")
+    out = on.join(known, key, "left").select(key, origin.alias("origin"), *[c for f in fields for c in (F.col(f"_{f}.{f}").alias(f), F.col(f"_{f}._name").alias(f"{f}_from"))])
+    return out.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields])))

@@ -134,3 +134,35 @@ with m as (select conv_id, turn, role, len(coalesce(text, '')) n from conversati
 def longest_turns(t):
     rows = t("conversations").select("conv_id", "turn", "role", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     return top_k(rows, "conv_id", [F.desc("n"), F.asc("turn")], 2).select("conv_id", "turn", "role")
+
+
+@query("""
+with f as (select c_custkey k, case when c_custkey % 5 > 0 then c_name end as name, case when c_custkey % 7 > 0 then c_mktsegment else ' ' end area from customer where c_custkey % 3 > 0), g as (select s_suppkey k from supplier),
+a as (select p_partkey k, min(p_name) as name, min(case when p_partkey % 2 = 0 then p_brand end) area from part group by 1), b as (select s_suppkey k, s_name as name, 'area ' || s_nationkey area from supplier),
+r as (select coalesce(f.k, g.k) k, case when g.k is null then 'form' when f.k is null then 'tagged' else 'both' end origin, f.name fn, nullif(trim(f.area), '') fa from f full join g on f.k = g.k)
+select r.k, origin, coalesce(fn, a.name, b.name) as name, case when fn is not null then 'form' when a.name is not null then 'parts' when b.name is not null then 'reserve' end name_from,
+  coalesce(fa, a.area, b.area) area, case when fa is not null then 'form' when a.area is not null then 'parts' when b.area is not null then 'reserve' end area_from,
+  array_to_string(list_filter([case when coalesce(fn, a.name, b.name) is null then 'name' end, case when coalesce(fa, a.area, b.area) is null then 'area' end], lambda x: x is not null), ',') missing
+from r left join a on a.k = r.k left join b on b.k = r.k""")
+def roster_completion(t):
+    """Customers who filled in a form and suppliers who are only tagged, their profiles completed from parts and suppliers."""
+    c, s, p = t("customer"), t("supplier"), t("part")
+    k = F.col("c_custkey")
+    form = c.where(k % 3 > 0).select(k.alias("k"), F.when(k % 5 > 0, F.col("c_name")).alias("name"), F.when(k % 7 > 0, F.col("c_mktsegment")).otherwise(" ").alias("area"))
+    parts = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("area"))
+    reserve = s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.concat(F.lit("area "), F.col("s_nationkey").cast("string")).alias("area"))
+    out = rosters.complete(form, s.select(F.col("s_suppkey").alias("k")), [("parts", parts), ("reserve", reserve)], "k", ["name", "area"])
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
+@query("""
+with r as (select c_mktsegment role, case when c_acctbal < 0 then 'light' when c_acctbal < 5000 then 'full' end tier, o_orderstatus reason, o_totalprice v from orders join customer on o_custkey = c_custkey)
+select case when grouping(role) = 0 and grouping(tier) = 0 and grouping(reason) = 0 then 'role+tier+reason' when grouping(role) = 0 and grouping(tier) = 0 then 'role+tier' when grouping(role) = 0 then 'role' when grouping(reason) = 0 then 'reason' else 'all' end grain,
+  role, tier, reason, count(*) n, round(max(v), 2) most from r group by grouping sets ((role, tier, reason), (role, tier), (role), (reason), ())""")
+def audit_rollups(t):
+    """Totals by role, tier and reason at five grains in one pass; a tier that is unknown stays apart from all tiers."""
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    tier = F.when(F.col("c_acctbal") < 0, "light").when(F.col("c_acctbal") < 5000, "full")
+    rows = rows.select(F.col("c_mktsegment").alias("role"), tier.alias("tier"), F.col("o_orderstatus").alias("reason"), "o_totalprice")
+    grains = [["role", "tier", "reason"], ["role", "tier"], ["role"], ["reason"], []]
+    return metrics.rollups(rows, ["role", "tier", "reason"], grains, {"n": F.count("*"), "most": F.round(F.max("o_totalprice"), 2)})
