@@ -9,9 +9,10 @@ places. The two default masks are lossless for that rule: any 13 words with at m
 An item shorter than the window has masks of its own length: with s substitutions allowed, every (s+1)-th of its words
 from each of the first s + 1 on. One of these holds no substitution, so they are lossless too, down to one word.
 
-The benchmark's seeds are broadcast if there are at most ``broadcast_seeds`` of them (counted first; about 32 bytes
-each plus the items' words); beyond that the seeds are joined by a shuffle and the verified words fetched by row (id
-and words), which gives the same rows.
+Seeds carry no words, only which row they are of. If there are at most ``broadcast_seeds`` seeds of the benchmark (some
+40 bytes each) and at most ``broadcast_words`` words in its items (8 bytes each), both counted first, seeds and then
+items' words are broadcast. Beyond either the seeds are joined by a shuffle, the hits of a document and an item brought
+together, and the words of both fetched once a pair; this gives the same rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import free_name
+
 #: Selected places of each mask; weight 6, spans 7 and 9.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 WINDOW, SIMILARITY = 13, 0.8
-BROADCAST_SEEDS = 2_000_000
+BROADCAST_SEEDS, BROADCAST_WORDS = 2_000_000, 8_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -60,7 +63,7 @@ def _seeds(df: DataFrame, words: str, keep: list[str], masks=MASKS) -> DataFrame
 
 
 def _short_seeds(items: DataFrame, lengths: list[int], masks: list[tuple[int, ...]], similarity: float) -> DataFrame:
-    """One row per short item and mask: item_id, item_words, item_pos, mask, seed."""
+    """One row per short item and mask: item_row, item_pos, mask, seed."""
     rows = F.array().cast("array<struct<item_pos:int,mask:int,seed:bigint>>")
     for n in lengths:
         seeds = []
@@ -68,62 +71,84 @@ def _short_seeds(items: DataFrame, lengths: list[int], masks: list[tuple[int, ..
             k = masks.index(tuple(x - places[0] for x in places))
             seeds.append(F.struct(F.lit(places[0]).alias("item_pos"), F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[F.get("item_words", F.lit(x)) for x in places]).alias("seed")))
         rows = F.when(F.size("item_words") == n, F.array(*seeds)).otherwise(rows)
-    return items.select("item_id", "item_words", F.explode(rows).alias("s")).select("item_id", "item_words", "s.*")
+    return items.select("item_row", F.explode(rows).alias("s")).select("item_row", "s.*")
 
 
-def _verify(window: int, similarity: float, spans: list[int]) -> Column:
+def _verify(window: int, similarity: float, spans: list[int], pos: Column, item_pos: Column, mask: Column) -> Column:
     """The best agreement of a window that holds the hit, as (agreeing places, first item word), null if too low."""
-    span = F.element_at(F.array(*[F.lit(s) for s in spans]), F.col("mask") + 1)
-    n, d = F.size("item_words"), F.col("pos") - F.col("item_pos")
+    span = F.element_at(F.array(*[F.lit(s) for s in spans]), mask + 1)
+    n, d = F.size("item_words"), pos - item_pos
     length = F.least(F.lit(window), n)
-    first = F.greatest(F.lit(0), -d, F.col("item_pos") + span - length)
+    first = F.greatest(F.lit(0), -d, item_pos + span - length)
     last = F.least(n, F.size("words") - d) - length
-    last = F.least(last, F.col("item_pos"))
+    last = F.least(last, item_pos)
     agree = lambda s: F.size(F.filter(F.sequence(s, s + length - 1), lambda k: F.get("item_words", k) == F.get("words", k + d)))
     every = F.when(first <= last, F.transform(F.sequence(first, last), lambda s: F.struct(agree(s).alias("agree"), (-s).alias("back"))))
     best = F.array_max(every)
     return F.when(best["agree"] >= F.ceil(F.lit(similarity) * length - 1e-9), best)
 
 
-def contaminated(
+def _row(doc_id: Column, words: Column) -> Column:
+    return F.xxhash64(doc_id, words)
+
+
+def _matches(
     docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    masks=MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS,
+    masks=MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
-    """Pairs of a document and a benchmark item that overlap: doc_id, item_id, matched_words, window_words, doc_start, item_start.
-
-    matched_words is the best window's agreeing places; doc_start and item_start are where the best window begins (of
-    several, the one earliest in the document, then in the item; of rows that share the item's id, the longest window).
-    A pair has one row. Texts without words match nothing; an item of any length matches, however short; rows with a
-    null id are left out; rows that repeat an id are looked at one by one; empty tables give no rows. Other columns of
-    either table are ignored. masks have to suit items of window words and more; shorter ones have short_masks().
-    """
+    """doc_id, row, item_id, top: the best window of each row of docs and item that overlap; see contaminated()."""
     items = benchmark.where(F.col(item_id).isNotNull() & has_words(F.col(item_text))).select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item_words")).distinct()
+    items = items.withColumn("item_row", _row(F.col("item_id"), F.col("item_words")))
     left = docs.where(F.col(doc_id).isNotNull() & has_words(F.col(text))).select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
+    left = left.withColumn("row", _row(F.col("doc_id"), F.col("words")))  # once a document, before its places are laid out
     lengths = sorted(r[0] for r in items.select(F.size("item_words")).where(F.size("item_words") < window).distinct().collect())  # fewer than window values
     own = {tuple(x - m[0] for x in m) for n in lengths for m in short_masks(n, similarity)}
     every = [*masks, *sorted(own - set(masks))]
-    places = _seeds(items.where(F.size("item_words") >= window), "item_words", ["item_id"], masks).withColumnRenamed("pos", "item_pos")
+    spans = [m[-1] + 1 for m in every]
+    places = _seeds(items.where(F.size("item_words") >= window), "item_words", ["item_row"], masks).select("item_row", F.col("pos").alias("item_pos"), "mask", "seed")
     if lengths:
         places = places.unionByName(_short_seeds(items, lengths, every, similarity))
-    found = _seeds(left, "words", ["doc_id"], every)
-    if places.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = found.join(F.broadcast(places), ["mask", "seed"])
+    found, length = _seeds(left, "words", ["doc_id", "row"], every), F.least(F.lit(window), F.size("item_words")).alias("length")
+    small = places.limit(broadcast_seeds + 1).count() <= broadcast_seeds and (items.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= broadcast_words
+    if small:
+        hits = found.join(F.broadcast(places), ["mask", "seed"]).join(F.broadcast(items), "item_row")
+        # The verdict is filtered after the aggregation: a filter here would become part of the join's condition, and the
+        # join, no longer compiled, would copy the words of a document for each of its places.
+        verdict = _verify(window, similarity, spans, F.col("pos"), F.col("item_pos"), F.col("mask"))
+        checked = hits.select("doc_id", "row", "item_id", length, (F.col("pos") - F.col("item_pos")).alias("diagonal"), verdict.alias("best"))
     else:
-        row, item_row = F.xxhash64("doc_id", "words").alias("row"), F.xxhash64("item_id", "item_words").alias("item_row")
-        slim = found.select("doc_id", row, "pos", "mask", "seed").join(places.select("item_id", item_row, "item_pos", "mask", "seed"), ["mask", "seed"])
-        hits = slim.join(left.select("*", row), ["doc_id", "row"]).join(items.select("*", item_row), ["item_id", "item_row"])
-    spans = [m[-1] + 1 for m in every]
-    # The verdict is filtered after the aggregation: a filter here would become part of the join's condition, and the
-    # join, no longer compiled, would copy the words of a document for each of its places.
-    checked = hits.select("doc_id", "item_id", F.least(F.lit(window), F.size("item_words")).alias("length"), (F.col("pos") - F.col("item_pos")).alias("diagonal"), _verify(window, similarity, spans).alias("best"))
+        met = found.select("row", "pos", "mask", "seed").join(places, ["mask", "seed"])
+        pairs = met.groupBy("row", "item_row").agg(F.collect_set(F.struct("pos", "item_pos", "mask")).alias("hits"))
+        both = pairs.join(left.distinct(), "row").join(items, "item_row")
+        judged = F.transform("hits", lambda h: F.struct((h["pos"] - h["item_pos"]).alias("diagonal"), _verify(window, similarity, spans, h["pos"], h["item_pos"], h["mask"]).alias("best")))
+        checked = both.select("doc_id", "row", "item_id", length, F.explode(judged).alias("j")).select("doc_id", "row", "item_id", "length", "j.*")
     order = F.when(F.col("best").isNotNull(), F.struct(F.col("best.agree"), (F.col("best.back") - F.col("diagonal")).alias("doc_back"), F.col("best.back").alias("item_back"), "length"))
-    top = checked.groupBy("doc_id", "item_id").agg(F.max(order).alias("top")).where("top is not null")
+    return checked.groupBy("doc_id", "row", "item_id").agg(F.max(order).alias("top")).where("top is not null")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Pairs of a document and a benchmark item that overlap: doc_id, item_id, matched_words, window_words, doc_start, item_start.
+
+    matched_words is the best window's agreeing places; doc_start and item_start are where the best window begins (of
+    several, the one earliest in the document, then in the item; of rows that share the item's id, the longest window).
+    A pair has one row. Texts without words match nothing; an item of any length matches, however short; rows with a
+    null id are left out; rows that repeat an id are looked at one by one; empty tables give no rows. Other columns of
+    either table are ignored. Options: doc_id, text, item_id, item_text (columns), masks, window, similarity,
+    broadcast_seeds, broadcast_words. masks have to suit items of window words and more; shorter ones have short_masks().
+    """
+    top = _matches(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max("top").alias("top"))
     return top.select(
         "doc_id", "item_id", F.col("top.agree").alias("matched_words"), F.col("top.length").alias("window_words"), (-F.col("top.doc_back")).alias("doc_start"), (-F.col("top.item_back")).alias("item_start"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that overlap with no benchmark item, with all their columns. Rows with a null id stay."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[options.get("doc_id", "doc_id")] == bad["_bad_id"], "left_anti")
+    """The rows of docs that overlap with no benchmark item, with all their columns.
+
+    Each row is judged by its own text, also where rows share an id. Rows with a null id, null and empty texts stay;
+    repeated rows stay or go together; an empty benchmark drops nothing; columns may have any names.
+    """
+    name = free_name(docs.columns, "_row")
+    own = _row(docs[options.get("doc_id", "doc_id")], word_hashes(docs[options.get("text", "text")]))
+    bad = _matches(docs, benchmark, **options).select(F.col("row").alias(name)).distinct()
+    return docs.join(bad, own == bad[name], "left_anti")
