@@ -23,3 +23,12 @@ def test_neighbors_come_from_all_rows(spark):
         for rank in (1, 2, 3):
             r = found[rank]
             assert r.other != v and abs(r.affinity - best[rank - 1]) < 2e-6 and abs(sims[at[v], at[r.other]] - r.affinity) < 2e-6
+
+
+def test_queries_in_parts_find_the_same(spark):
+    from weftline.operators.pairs import nearest
+
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    found = [sorted(map(tuple, nearest(rows.where("vec_id % 9 = 0"), rows, "vec_id", "embedding", 3, held_bytes=size).collect())) for size in (1 << 30, 4000)]
+    assert found[0] == found[1] and found[0]
+    assert nearest(rows.limit(0), rows, "vec_id", "embedding", 3).count() == 0

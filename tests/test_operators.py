@@ -207,6 +207,27 @@ def test_policy():
     assert Policy().per_paper == 5
 
 
+def test_a_vector_cache_is_read_by_many_tasks(spark, tmp_path):
+    entries = {f"p{i} \u00e9, {i}": {"vector": [i / 7, -1e-9, float(i)], "fingerprint_key": None if i % 5 == 0 else f"k:{i}"} for i in range(400)}
+    want = sorted((k, e["vector"], e["fingerprint_key"]) for k, e in entries.items())
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for indent, size in ((None, "2k"), (1, "2k"), (None, before)):
+            (tmp_path / "cache.json").write_text(json.dumps(entries, indent=indent))
+            spark.conf.set(name, size)
+            got = readers.embedding_cache(spark, str(tmp_path / "cache.json"))
+            assert sorted(map(tuple, got.collect())) == want
+            assert size == before or got.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set(name, before)
+    (tmp_path / "empty.json").write_text("{}")
+    assert readers.embedding_cache(spark, str(tmp_path / "empty.json")).count() == 0
+    (tmp_path / "bad.json").write_text('{"a}b": {"vector": [1.0], "fingerprint_key": "x"}}')
+    with pytest.raises(Exception, match="not an entry"):
+        readers.embedding_cache(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_rosters_are_completed_with_where_each_field_is_from(spark):
     from weftline.operators.rosters import complete
 

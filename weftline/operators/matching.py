@@ -7,7 +7,7 @@ greedy result only where a person is in several classes that cross.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -158,8 +158,8 @@ def phases(edges: list[tuple], steps: list[dict], cap: dict, mode: str = "greedy
     for step in steps:
         people = step.get("people")
         live = [(p, r, s) for p, r, s, g in edges if (g or not step.get("gated", True)) and (people is None or r in people) and (p, r) not in taken]
-        counted = [(p, r) for p, r, _, _ in picks if people is None or step.get("total", True) or r in people]
-        left = {p: max(0, n - sum(1 for q, _ in counted if q == p)) for p, n in step["target"].items()}
+        counted = Counter(p for p, r, _, _ in picks if people is None or step.get("total", True) or r in people)
+        left = {p: max(0, n - counted[p]) for p, n in step["target"].items()}
         class_of, held = step.get("class_of", {}), defaultdict(int)
         for p, r, _, _ in picks:
             for c in class_of.get(r, ()):

@@ -57,12 +57,14 @@ def selection_gaps(t):
 
 
 @query(r"""
-with d as (select doc_id, split_part(coalesce(text, ''), '.', 1) title, coalesce(text, '') body, lang, doc_id % 9 = 0 gone from documents)
-select doc_id from d where trim(title) <> '' and lower(trim(title)) not in ('tbd', 'tba', 'untitled', 'placeholder', 'test', 'todo', 'n/a', 'none', 'title')
+with d as (select doc_id, case doc_id % 13 when 0 then ' Test' when 1 then 'TBD' else split_part(coalesce(text, ''), '.', 1) end title, coalesce(text, '') body, lang, doc_id % 9 = 0 gone from documents)
+select doc_id from d where trim(title) <> '' and lower(trim(title)) not in ('test')
   and len(list_filter(regexp_split_to_array(body, '[.!?]+'), lambda x: regexp_matches(x, '\p{L}'))) >= 2 and not gone""")
 def registered_papers(t):
+    """Texts as papers; some have a placeholder for a title, others what looks like one and is none."""
     body = F.coalesce("text", F.lit(""))
-    gaps = selection.registration_gaps(F.substring_index(body, ".", 1), body, F.lit(1), F.col("doc_id") % 9 == 0)
+    title = F.when(F.col("doc_id") % 13 == 0, " Test").when(F.col("doc_id") % 13 == 1, "TBD").otherwise(F.substring_index(body, ".", 1))
+    gaps = selection.registration_gaps(title, body, F.lit(1), F.col("doc_id") % 9 == 0)
     return selection.split_selected(t("documents").withColumn("gaps", gaps))[0].select("doc_id")
 
 
@@ -175,10 +177,10 @@ def positional_zip(t):
 
 
 @query("""
-with c as (select l_orderkey, l_suppkey % 100 claim from lineitem where l_linenumber = 1)
+with c as (select l_orderkey, l_partkey claim from lineitem)
 select l_orderkey, claim, count(*) over (partition by claim) claimants, count(*) over (partition by claim) > 1 shared from c""")
 def shared_claims(t):
-    return dedup.shared_claims(t("lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_suppkey") % 100).alias("claim")), "claim")
+    return dedup.shared_claims(t("lineitem").select("l_orderkey", F.col("l_partkey").alias("claim")), "claim")
 
 
 @query("""

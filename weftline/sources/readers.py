@@ -178,9 +178,16 @@ def coauthor_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON map key -> {vector, fingerprint_key} as rows."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", "map<string,struct<vector:array<double>,fingerprint_key:string>>")).alias("key", "e")).select("key", "e.vector", F.col("e.fingerprint_key").alias("content_key"))
+    """A JSON map key -> {vector, fingerprint_key} as rows: key, vector, content_key.
+
+    The file is cut at closing braces, of which an entry has one, so that a map of any size is read by many tasks, an
+    entry at a time, also where it is all one line. Raises at what is no entry, as where a key holds a brace.
+    """
+    text = spark.read.option("lineSep", "}").text(path)
+    body = F.regexp_replace("value", r"^[\s,{]+", "")
+    record = F.from_json(F.concat(F.lit("{"), body, F.lit("}}")), "map<string,struct<vector:array<double>,fingerprint_key:string>>")
+    entries = text.where(body != "").select(F.coalesce(record, F.raise_error(F.lit("not an entry of a vector cache")).cast("map<string,struct<vector:array<double>,fingerprint_key:string>>")).alias("m"))
+    return entries.select(F.explode("m").alias("key", "e")).select("key", "e.vector", F.col("e.fingerprint_key").alias("content_key"))
 
 
 def bibliography(spark: SparkSession, path: str, kind: str, fields: str) -> DataFrame:
