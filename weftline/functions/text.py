@@ -45,6 +45,11 @@ def token_set(c: Column, nicknames: dict[str, str] | None = None) -> Column:
     return F.array_sort(F.array_distinct(ordered_tokens(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+\d+\s*$", ""), nicknames)))
 
 
+def token_pairs(tokens: Column) -> Column:
+    """All pairs of a sorted set of tokens, a blank between the two."""
+    return F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
+
+
 def homonym_number(name: Column) -> Column:
     return F.regexp_extract(F.trim(name), r"\s(\d+)$", 1)
 

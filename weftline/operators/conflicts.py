@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import homonym_number, names_match, token_set
+from weftline.functions.text import homonym_number, names_match, token_pairs, token_set
 
 
 def coauthor_index(people: DataFrame, coauthorships: DataFrame, *, years: int, current_year: int) -> DataFrame:
@@ -22,12 +22,15 @@ def coauthor_index(people: DataFrame, coauthorships: DataFrame, *, years: int, c
 def coauthor_conflicts(authors: DataFrame, index: DataFrame, *, least: int = 2) -> DataFrame:
     """Papers' authors met with people's co-authors by shared tokens, never all against all.
 
-    authors: paper_id, author, tokens, numbers (array of homonym numbers, may be empty). Equal names whose numbers
+    Where names have to share two tokens they are joined on pairs of them, which no common surname makes hot; of those that
+    two names share the first one counts, so that they meet once. Tokens are sorted sets, as token_set() gives them. authors: paper_id, author, tokens, numbers (array of homonym numbers, may be empty). Equal names whose numbers
     differ are different people. The best evidence of each (paper, person): exact first, then more shared papers.
     """
-    left = authors.select("paper_id", "author", "tokens", "numbers", F.explode("tokens").alias("token"))
-    right = index.select("person_id", F.col("tokens").alias("their_tokens"), "number", "shared", "latest_year", "latest_title", F.explode("tokens").alias("token"))
-    met = left.join(right, "token").drop("token").distinct().withColumn("match", names_match(F.col("tokens"), F.col("their_tokens"), least)).where("match is not null")
+    keys, n = (token_pairs(F.col("tokens")), 2) if least > 1 else (F.col("tokens"), 1)
+    left = authors.select("paper_id", "author", "tokens", "numbers", F.explode(keys).alias("key"))
+    right = index.select("person_id", F.col("tokens").alias("their_tokens"), "number", "shared", "latest_year", "latest_title", F.explode(keys).alias("key"))
+    once = left.join(right, "key").where(F.array_join(F.slice(F.array_intersect("tokens", "their_tokens"), 1, n), " ") == F.col("key"))
+    met = once.drop("key").withColumn("match", names_match(F.col("tokens"), F.col("their_tokens"), least)).where("match is not null")
     apart = (F.col("match") == "exact") & (F.size("numbers") > 0) & (F.col("number") != "") & ~F.array_contains("numbers", F.col("number"))
     w = Window.partitionBy("paper_id", "person_id").orderBy(F.when(F.col("match") == "exact", 0).otherwise(1), F.desc("shared"), F.desc("latest_year"), "author", F.array_join("their_tokens", " "))
     return met.where(~apart).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select("paper_id", "person_id", "match", "author", "shared", "latest_year", "latest_title")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import distinctive_tokens, token_set
+from weftline.functions.text import distinctive_tokens, token_pairs, token_set
 from weftline.operators.identity import token_relation
 
 #: Words that institutions share.
@@ -34,11 +34,6 @@ def _joined(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-def _pairs(tokens: Column) -> Column:
-    """All pairs of a sorted set."""
-    return F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-
-
 def _shape(tokens: Column) -> Column:
     """Lengths and first letters of a set's tokens in order: a respelling keeps them."""
     return F.array_join(F.array_sort(F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.substring(t, 1, 1)))), ",")
@@ -62,8 +57,8 @@ def name_pairs(wanted: DataFrame, index: DataFrame, *, least: float = 0.8) -> Da
     whole = F.concat(F.lit("="), _joined(F.col("tokens")))
     routes = [
         (keyed(w, whole), keyed(x, whole)),
-        (_rarest_pair(w, frequency), keyed(x, F.explode(_pairs(F.col("tokens"))))),
-        (keyed(w, F.explode(_pairs(F.col("tokens")))), _rarest_pair(x, frequency)),
+        (_rarest_pair(w, frequency), keyed(x, F.explode(token_pairs(F.col("tokens"))))),
+        (keyed(w, F.explode(token_pairs(F.col("tokens")))), _rarest_pair(x, frequency)),
         (shape(w), shape(x)),
     ]
     met = None
