@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from weftline.llm.common import materialize, tidied
+from weftline.llm.common import materialize, release, tidied
 
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
 COSTS = {KEEP: 0, REROLE: 1, DELETE: 2, INSERT: 5}
@@ -222,7 +222,9 @@ def audited(turns: DataFrame) -> DataFrame:
     distinct = shown.groupBy("signature").agg(F.collect_set("salt").alias("salts"))
     solved = distinct.mapInArrow(tidied(_solutions), "signature string, salts array<int>, cost long, audit string")
     back = solved.select("signature", F.explode("salts").alias("salt"), "cost", "audit")
-    return materialize(known.join(back, ["signature", "salt"], "left").drop("salt"), "audits")
+    out = materialize(known.join(back, ["signature", "salt"], "left").drop("salt"), "audits")
+    release(known)
+    return out
 
 
 def replayed(turns: DataFrame, audits: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, partitions, slices, texts_of, tidied
+from weftline.llm.common import materialize, partitions, release, slices, texts_of, tidied
 
 BUCKETS, MIN_WORDS, PERCENT, SEED, SCALE = 10_000, 20, 25, 7, 1000
 SLICE = 1 << 19  # bytes of text that DuckDB sees at a time
@@ -183,6 +183,8 @@ def resampled(docs: DataFrame, target: DataFrame, *, doc_id: str = "doc_id", tex
     wanted = materialize(bucket_counts(target.withColumn("_id", F.lit(0)), doc_id="_id", text=target_text, buckets=buckets), "target")
     gain = gains(merged(spilled, buckets), merged(wanted, buckets))
     rows = materialize(scored(spilled, gain, seed=seed).withColumn("row", F.monotonically_increasing_id()), "scores")
+    release(spilled)
+    release(wanted)
     able = rows.where(F.col("n_words") >= min_words)
     drawn = able.count() * percent // 100
     columns = ["doc_id", "n_features", "weight", "score", "rank", "n_words"]
