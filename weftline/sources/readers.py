@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import is_false_like, normalise_doi, parse_pid, tag_names
 from weftline.operators.dedup import best_row
+from weftline.sources.bibliography import KINDS, Dump
 
 PERSON = "struct<email:string,given_name:string,family_name:string,affiliation:string>"
 PAPERS = (
@@ -190,27 +191,41 @@ def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(F.explode("m").alias("key", "e")).select("key", "e.vector", F.col("e.fingerprint_key").alias("content_key"))
 
 
-def bibliography(spark: SparkSession, path: str, kind: str, fields: str) -> DataFrame:
-    """One kind of record of a bibliography dump, split by its tag; named entities must be plain letters already."""
-    return spark.read.format("xml").option("rowTag", kind).option("attributePrefix", "_").schema(fields).load(path)
+def bibliography(spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS, **options: str) -> DataFrame:
+    """Records of a bibliography dump, of all kinds in one scan: kind, key, fields (name, type, text)."""
+    spark.dataSource.register(Dump)
+    return spark.read.format("bibliography").options(kinds=",".join(kinds), **options).load(path)
 
 
-def bibliography_people(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+def texts(name: str, kind: str | None = None) -> Column:
+    """What the fields of a name (and a type) hold, blanks left out."""
+    mine = F.filter("fields", lambda f: (f["name"] == name) & (f["text"] != "") & ((f["type"] == kind) if kind else F.lit(True)))
+    return F.transform(mine, lambda f: f["text"])
+
+
+def bibliography_people(spark: SparkSession, path: str, wanted: DataFrame | None = None, **options: str) -> DataFrame:
     """Person records: pid, spellings, affiliation notes; only wanted ids (column pid) if given."""
-    rows = bibliography(spark, path, "www", "_key string, author array<string>, note array<string>").where(F.startswith("_key", F.lit("homepages/")))
-    out = rows.select(F.substring("_key", 11, 1000).alias("pid"), F.col("author").alias("spellings"), F.col("note").alias("notes"))
+    rows = bibliography(spark, path, ("www",), **options).where(F.startswith("key", F.lit("homepages/")))
+    out = rows.select(F.expr("substring(key, 11)").alias("pid"), texts("author").alias("spellings"), texts("note", "affiliation").alias("notes"))
     return out if wanted is None else out.join(wanted.select("pid").distinct(), "pid", "left_semi")
 
 
-def bibliography_works(spark: SparkSession, path: str, people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(publications, co-authorships) of people (pid, spellings) from articles and conference papers, in one scan each."""
-    shape = "_key string, author array<string>, title string, year int, journal string, booktitle string, ee array<string>"
-    works = bibliography(spark, path, "article", shape).withColumn("type", F.lit("article")).unionByName(bibliography(spark, path, "inproceedings", shape).withColumn("type", F.lit("inproceedings")))
-    rows = works.withColumns({"venue": F.coalesce("booktitle", "journal"), "doi": F.try_element_at(F.array_compact(F.transform(F.coalesce("ee", F.array().cast("array<string>")), normalise_doi)), F.lit(1))})
+def bibliography_works(spark: SparkSession, path: str, people: DataFrame, *, since: int | None = None, **options: str) -> tuple[DataFrame, DataFrame]:
+    """(publications, co-authorships) of people (pid, spellings) from all records but people's own, one scan each.
+
+    A record counts once for each person, whatever number of spellings it shows; one without title or whole year is left
+    out. Co-authorships are of since or later, and leave out the person's own spellings.
+    """
+    first = lambda name: F.get(texts(name), F.lit(0))
+    rows = bibliography(spark, path, tuple(k for k in KINDS if k not in ("www", "person")), **options).select(
+        "key", F.col("kind").alias("type"), texts("author").alias("authors"), first("title").alias("title"), first("year").try_cast("int").alias("year"),
+        F.coalesce(first("booktitle"), first("journal"), F.lit("")).alias("venue"), F.coalesce(F.get(F.array_compact(F.transform(texts("ee"), normalise_doi)), F.lit(0)), F.lit("")).alias("doi"),
+    ).where("title is not null and year is not null")
     names = people.select("pid", "spellings", F.explode("spellings").alias("name"))
-    hit = rows.withColumn("name", F.explode("author")).join(names, "name")
-    publications = hit.select("pid", "title", "year", "venue", "type", "doi").distinct()
-    together = hit.select("pid", "year", "title", "spellings", F.explode("author").alias("coauthor")).where(~F.array_contains("spellings", F.col("coauthor")))
+    hit = rows.withColumn("name", F.explode(F.array_distinct("authors"))).join(names, "name").dropDuplicates(["key", "title", "pid"])
+    publications = hit.select("pid", "title", "year", "venue", "type", "doi")
+    late = hit if since is None else hit.where(F.col("year") >= since)
+    together = late.select("pid", "year", "title", "spellings", F.explode("authors").alias("coauthor")).where(~F.array_contains("spellings", F.col("coauthor")))
     return publications, together.select("pid", F.col("coauthor").alias("name"), "year", "title").distinct()
 
 
