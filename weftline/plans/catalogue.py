@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.plans import assignment, evidence, identities, people, rosters
+from weftline.plans import assignment, evidence, identities, people, rosters, storage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (people, evidence, assignment, rosters, identities):
+for _part in (people, evidence, assignment, rosters, identities, storage):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -18,7 +18,7 @@ def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:
     # Uploads are read by one program from one file, so they are gathered here; they hold a row per assignment.
     rows = (df.orderBy(*order) if order else df).coalesce(1)
     try:
-        rows.write.option("header", True).option("quoteAll", False).option("emptyValue", "").csv(draft.toString())
+        rows.write.option("header", True).option("quoteAll", False).option("emptyValue", "").option("escape", '"').csv(draft.toString())
         part = next(s.getPath() for s in store.listStatus(draft) if s.getPath().getName().startswith("part-"))
         store.delete(target, False)
         store.rename(part, target)
