@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import diffs, flow, matching, metrics, patch
+from weftline.operators import auction, diffs, flow, matching, metrics, patch
 from weftline.plans.evidence import GATED_SQL, PAPERS_SQL, PEOPLE_SQL, scored_of
 from weftline.plans.registry import Registry
 from weftline.policy import Policy
@@ -184,6 +184,13 @@ def balanced_flow(t):
     return flow.balance(edges, edges.select("person_id")).select("paper_id", "person_id", "score")
 
 
+@query()
+def balanced_auction(t):
+    """Each part to one of its suppliers, loads within a tenth of the mean, the total within 0.05 a part of the greatest."""
+    rows = t("lineitem").select(F.col("l_partkey").alias("paper_id"), F.col("l_suppkey").alias("person_id"), (F.col("l_quantity") / 50).alias("score"))
+    return auction.balanced_auction(rows, t("supplier").select(F.col("s_suppkey").alias("person_id")), eps=0.05).assigned
+
+
 OLD_NEW_SQL = """o as (select distinct l_partkey paper_id, l_suppkey person_id from lineitem where l_linenumber <= 3), n as (select distinct l_partkey paper_id, l_suppkey person_id from lineitem where l_linenumber between 2 and 4),
 d as (select coalesce(o.paper_id, n.paper_id) paper_id, coalesce(o.person_id, n.person_id) person_id, case when o.paper_id is null then 1 else -1 end change from o full join n on o.paper_id = n.paper_id and o.person_id = n.person_id where o.paper_id is null or n.paper_id is null)"""
 
