@@ -76,3 +76,17 @@ def test_empty_and_packed_dumps(spark, tmp_path):
     assert readers.bibliography(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "bib.xml.gz").write_bytes(gzip.compress(DUMP))
     assert readers.bibliography(spark, str(tmp_path / "bib.xml.gz"), range="100").count() == 120
+
+
+def test_assignments_are_read_by_many_tasks(spark, tmp_path):
+    from weftline.sources.readers import assignments
+
+    path = tmp_path / "pairs.csv"
+    path.write_text("pid,email,phase,rank_score,affinity\n" + "".join(f'{k},"R, {k}@x.org",fill,0.5,\n' for k in range(5_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = assignments(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 3 and rows.distinct().count() == 5_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

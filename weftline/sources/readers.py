@@ -31,11 +31,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def csv(spark: SparkSession, path: str, *, required: bool = True, columns: str = "email string") -> DataFrame:
-    """All columns as strings; quoted cells may span lines. A missing optional file has no rows, with the given columns."""
+def csv(spark: SparkSession, path: str, *, required: bool = True, columns: str = "email string", spans: bool = True) -> DataFrame:
+    """All columns as strings; a missing optional file has no rows, with the given columns.
+
+    Quoted cells may span lines, which takes a task a file; a file whose cells never do (spans=False) is cut among many.
+    """
     if not required and not exists(spark, path):
         return spark.createDataFrame([], columns)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.option("header", True).option("multiLine", spans).option("escape", '"').csv(path)
 
 
 def field(df: DataFrame, needle: str) -> Column:
@@ -139,7 +142,7 @@ def assignment_format(columns: list[str]) -> str:
 
 def assignments(spark: SparkSession, path: str) -> DataFrame:
     """Either file shape as (paper_id, person_id, phase, affinity); of an upload only primary reviews."""
-    raw = csv(spark, path)
+    raw = csv(spark, path, spans=False)
     if assignment_format(raw.columns) == "upload":
         rows = raw.where("action = 'primaryreview'")
         return rows.select(F.expr("try_cast(paper as int)").alias("paper_id"), F.lower(F.trim("email")).alias("person_id"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("double").alias("affinity")).where("paper_id is not null").distinct()
