@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import vectors as V
 from weftline.operators import conflicts, country, pairs
+from weftline.operators.blocks import Scored
 from weftline.plans.registry import Registry
 
 _r = Registry()
@@ -27,21 +28,23 @@ def people_of(e):
     return e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("person_id"), F.transform(F.array(F.col("label"), (F.col("label") + 1) % 10), lambda x: x.cast("string")).alias("areas"), F.col("embedding").alias("vector"))
 
 
+def _barred(paper, person):
+    return (paper * 7 + person * 13) % 23 == 0
+
+
 def scored_of(e):
-    """Gated pairs that no conflict bars, with affinities; the bar is tested before the vectors are touched."""
-    papers, people = papers_of(e), people_of(e)
-    free = pairs.gated_pairs(papers, people).where((F.col("paper_id") * 7 + F.col("person_id") * 13) % 23 != 0)
-    return pairs.score(free, papers, people)
+    """Gated pairs that no conflict bars, with affinities, in blocks."""
+    return Scored(papers_of(e), people_of(e), _barred)
 
 
 @query(f"with {GATED_SQL} select paper_id, person_id, affinity, rank from (select *, row_number() over (partition by paper_id order by affinity desc, person_id) rank from scored) where rank <= 5")
 def topk_gated(t):
-    return pairs.top_k(scored_of(t("embeddings")), "paper_id", [F.desc("affinity"), F.asc("person_id")], 5).select("paper_id", "person_id", "affinity", "rank")
+    return scored_of(t("embeddings")).best(5)
 
 
 @query(f"with {GATED_SQL} select paper_id, count(*) n_eligible, round(avg(affinity), 4) mean_affinity from scored group by 1")
 def pool_floor(t):
-    return scored_of(t("embeddings")).groupBy("paper_id").agg(F.count("*").alias("n_eligible"), F.round(F.avg("affinity"), 4).alias("mean_affinity"))
+    return scored_of(t("embeddings")).sums(1).select("paper_id", F.col("n").alias("n_eligible"), F.round("mean", 4).alias("mean_affinity"))
 
 
 @query("""
