@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.rounds import blocking_pairs, rounds  # noqa: F401
+from weftline.operators.rounds import blocking_of, blocking_pairs, rounds, rounds_of  # noqa: F401
 from weftline.policy import Policy
 
 KERNEL_EDGES = 2_000_000

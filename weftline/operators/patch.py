@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.matching import outside, over_cap, seed_used
+from weftline.operators.blocks import Scored
 from weftline.operators.rounds import EDGE, class_limits, rounds
 
 KEPT, SURVIVOR, NEW = "kept", "survivor", "new"
@@ -46,11 +47,11 @@ def room_left(baseline: DataFrame, removed: DataFrame, papers: DataFrame, people
     return people.select("person_id", "cap").join(used, "person_id", "left").select("person_id", (F.col("cap") - F.coalesce("used", F.lit(0))).alias("cap"))
 
 
-def patch(baseline: DataFrame, removed: DataFrame, papers: DataFrame, people: DataFrame, edges: DataFrame, members: DataFrame | None = None, limits: DataFrame | None = None, *, force: bool = False) -> DataFrame:
+def patch(baseline: DataFrame, removed: DataFrame, papers: DataFrame, people: DataFrame, edges: DataFrame | Scored, members: DataFrame | None = None, limits: DataFrame | None = None, *, force: bool = False) -> DataFrame:
     """paper_id, person_id, origin (kept, survivor, new) of the patched assignment.
 
     baseline: paper_id, person_id (repeats count once); removed: person_id; papers: those still there; people: person_id,
-    cap; edges: paper_id, person_id, score, who can be chosen; members and limits as in class_limits(). Raises if a removed
+    cap; edges: paper_id, person_id, score, who can be chosen, or pairs in blocks; members and limits as in class_limits(). Raises if a removed
     person is still on the roster, unless forced. A paper stays short rather than break a cap.
     """
     if not force and still_here(removed, people).limit(1).count():
@@ -58,9 +59,14 @@ def patch(baseline: DataFrame, removed: DataFrame, papers: DataFrame, people: Da
     stays = frozen(baseline, removed, papers, people)
     slates = stays.where(F.col("origin") == SURVIVOR)
     targets = openings(baseline, removed, papers, people).where("target > 0").select("paper_id", "target")
-    able = edges.join(targets.select("paper_id"), "paper_id", "left_semi").join(removed.select("person_id"), "person_id", "left_anti").join(slates, EDGE, "left_anti")
     held = slates.join(members.select("class_id", "person_id").distinct(), "person_id").groupBy("class_id", "paper_id").agg(F.count("*").alias("n")) if members is not None else None
-    found = rounds(able, targets, room_left(baseline, removed, papers, people), members, limits, held)
+    room = room_left(baseline, removed, papers, people)
+    if isinstance(edges, Scored):
+        there = targets.select("paper_id").join(slates.groupBy("paper_id").agg(F.collect_list("person_id").alias("skip")), "paper_id", "left")
+        found = rounds_of(edges.of(there), targets, room.join(removed.select("person_id"), "person_id", "left_anti"), members, limits, held)
+    else:
+        able = edges.join(targets.select("paper_id"), "paper_id", "left_semi").join(removed.select("person_id"), "person_id", "left_anti").join(slates, EDGE, "left_anti")
+        found = rounds(able, targets, room, members, limits, held)
     return stays.unionByName(found.select(*EDGE, F.lit(NEW).alias("origin")))
 
 
