@@ -315,3 +315,16 @@ def test_layout():
     assert Layout("s3://b/").path("report", "x.txt") == "s3://b/outputs/reports/x.txt"
     with pytest.raises(ValueError):
         Layout("/r").path("other", "x")
+
+
+def test_collaborators_of_papers_with_several_authors_are_not_shuffled_as_pairs(spark):
+    from weftline.operators.conflicts import collaborator_conflicts
+
+    kind = "tokens array<string>, declared array<array<string>>, institutions array<string>"
+    people = spark.createDataFrame([(1, ["a", "b"], [["c", "d"], ["e", "f"], ["g"]], ["x", "y"]), (2, ["c", "d"], [], ["z"]), (3, ["q"], None, ["x", None])], f"person_id long, {kind}")
+    authors = spark.createDataFrame([(7, "p", ["e", "f"], [["a", "b"]], ["x"]), (7, "q", ["c", "d"], [["q"]], ["y"]), (8, "r", ["g"], [["c", "d"], ["a", "b"]], ["z"]), (9, "s", ["k", "l"], [], ["y", "x", None])], f"paper_id long, author string, {kind}")
+    out = collaborator_conflicts(people, authors)
+    got = sorted((r.paper_id, r.person_id, r.kind, r.evidence) for r in out.collect())
+    assert got == [(7, 1, "person_declared", "c d"), (7, 3, "institution", "x"), (8, 1, "author_declared", "a b"), (8, 2, "author_declared", "c d"), (9, 1, "institution", "x"), (9, 3, "institution", "x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]

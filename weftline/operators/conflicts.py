@@ -41,16 +41,22 @@ def collaborator_conflicts(people: DataFrame, authors: DataFrame) -> DataFrame:
 
     people: person_id, tokens, declared (array of token sets), institutions (tokens); authors: paper_id, author and the same.
     """
-    from_person = people.select("person_id", F.explode("declared").alias("name")).where(F.size("name") > 1)
-    by_person = from_person.join(authors.select("paper_id", F.col("tokens").alias("name")), "name").select("paper_id", "person_id", F.lit(1).alias("kind"), F.array_join("name", " ").alias("evidence"))
-    from_author = authors.select("paper_id", F.explode("declared").alias("name")).where(F.size("name") > 1)
-    by_author = from_author.join(people.select("person_id", F.col("tokens").alias("name")), "name").select("paper_id", "person_id", F.lit(2).alias("kind"), F.array_join("name", " ").alias("evidence"))
-    place = people.select("person_id", F.explode("institutions").alias("evidence")).join(authors.select("paper_id", F.explode("institutions").alias("evidence")), "evidence")
-    by_place = place.select("paper_id", "person_id", F.lit(3).alias("kind"), "evidence")
-    every = by_person.unionByName(by_author).unionByName(by_place)
-    best = every.groupBy("paper_id", "person_id").agg(F.min(F.struct("kind", "evidence")).alias("best"))
-    names = F.element_at(F.array(F.lit("person_declared"), F.lit("author_declared"), F.lit("institution")), F.col("best.kind"))
-    return best.select("paper_id", "person_id", names.alias("kind"), F.col("best.evidence").alias("evidence"))
+    # A pair is made at the least key of its first kind only, so that pairs are not shuffled to be told apart.
+    joined = lambda names: F.transform(F.filter(names, lambda x: F.size(x) > 1), lambda x: F.array_join(x, " "))
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    sides = []
+    for rows, key, side in ((people, "person_id", "r"), (authors, "paper_id", "p")):
+        names = rows.select(key, joined(F.array("tokens")).alias("n"), joined(F.col("declared")).alias("d"), F.array_compact("institutions").alias("i"))
+        sides.append(names.groupBy(key).agg(*[flat(c).alias(f"{side}_{c}") for c in "ndi"]))
+    steps, every = (("r_d", "p_n", "person_declared"), ("r_n", "p_d", "author_declared"), ("r_i", "p_i", "institution")), None
+    for k, (mine, theirs, kind) in enumerate(steps):
+        left, right = sides[0].withColumn("evidence", F.explode(mine)), sides[1].withColumn("evidence", F.explode(theirs))
+        met = left.join(right, "evidence").where(F.array_min(F.array_intersect(mine, theirs)) == F.col("evidence"))
+        for a, b, _ in steps[:k]:
+            met = met.where(~F.arrays_overlap(a, b))
+        rows = met.select("paper_id", "person_id", F.lit(kind).alias("kind"), "evidence")
+        every = rows if every is None else every.unionByName(rows)
+    return every
 
 
 def hard(conflicts: DataFrame) -> DataFrame:
