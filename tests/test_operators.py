@@ -328,3 +328,15 @@ def test_collaborators_of_papers_with_several_authors_are_not_shuffled_as_pairs(
     assert got == [(7, 1, "person_declared", "c d"), (7, 3, "institution", "x"), (8, 1, "author_declared", "a b"), (8, 2, "author_declared", "c d"), (9, 1, "institution", "x"), (9, 3, "institution", "x")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_duplicate_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators.identity import duplicate_pairs
+
+    rows = spark.createDataFrame([(1, ["x", "y", None]), (2, ["y", "x"]), (3, ["z", "y"]), (1, ["z"]), (4, None), (5, [None])], "id long, keys array<string>")
+    out = duplicate_pairs(rows, "id", F.col("keys"))
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (1, 3), (2, 3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
