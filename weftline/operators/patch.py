@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.matching import outside, over_cap, seed_used
 from weftline.operators.blocks import Scored
-from weftline.operators.rounds import EDGE, class_limits, rounds
+from weftline.operators.rounds import EDGE, class_limits, rounds, rounds_of
 
 KEPT, SURVIVOR, NEW = "kept", "survivor", "new"
 
