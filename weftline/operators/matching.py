@@ -8,13 +8,17 @@ greedy result only where a person is in several classes that cross.
 from __future__ import annotations
 
 from collections import Counter, defaultdict, deque
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import Scored
+from weftline.operators.offers import offers_of
 from weftline.operators.rounds import blocking_of, blocking_pairs, rounds, rounds_of  # noqa: F401
 from weftline.policy import Policy
+from weftline.session import shared_path
 
 KERNEL_EDGES = 2_000_000
 
@@ -203,6 +207,16 @@ def surplus(edges: list[tuple], picks: list[tuple], cap: dict, *, base: int, ext
 
 
 SENIOR, FILL = "senior anchor", "fill"
+#: Name, what is to be held after it, whose people (None: all), in the area only, under the limits on classes.
+LADDER = (
+    (SENIOR, "anchor", "senior", True, False),
+    ("senior anchor (area released)", "anchor", "senior", False, False),
+    ("almost-senior anchor", "anchor", "almost_senior", False, False),
+    (FILL, "whole", None, True, True),
+    ("fill (area released)", "whole", None, False, True),
+    ("fill (limits released)", "whole", "almost_not", False, False),
+)
+FLAGS = ("senior", "almost_senior", "junior", "out_of_area", "almost_not")
 
 
 def ladder(papers: list, pools: dict[str, set], policy: Policy, countries: dict | None = None, country_limit: dict | None = None) -> list[dict]:
@@ -219,14 +233,8 @@ def ladder(papers: list, pools: dict[str, set], policy: Policy, countries: dict
     anchor, whole = dict.fromkeys(papers, min(policy.min_seniors, policy.per_paper)), dict.fromkeys(papers, policy.per_paper)
     loose = {"class_of": by_country, "limit": country_limit}
     tight = {"class_of": classes, "limit": limits}
-    return [
-        {"name": SENIOR, "target": anchor, "people": pools["senior"], "total": False, **loose},
-        {"name": "senior anchor (area released)", "target": anchor, "people": pools["senior"], "gated": False, **loose},
-        {"name": "almost-senior anchor", "target": anchor, "people": pools["almost_senior"], "gated": False, **loose},
-        {"name": FILL, "target": whole, **tight},
-        {"name": "fill (area released)", "target": whole, "gated": False, **tight},
-        {"name": "fill (limits released)", "target": whole, "people": pools["almost_not"], "gated": False, **loose},
-    ]
+    goals = {"anchor": anchor, "whole": whole}
+    return [{"name": name, "target": goals[goal], "people": pools[pool] if pool else None, "total": name != SENIOR, "gated": area, **(tight if limited else loose)} for name, goal, pool, area, limited in LADDER]
 
 
 def assign(edges: DataFrame, people: DataFrame, policy: Policy = Policy(), mode: str = "sequential") -> DataFrame:
@@ -236,9 +244,8 @@ def assign(edges: DataFrame, people: DataFrame, policy: Policy = Policy(), mode:
     out_of_area, almost_not (a null is false).
     """
     _bounded(edges)
-    flags = ["senior", "almost_senior", "junior", "out_of_area", "almost_not"]
-    rows = people.join(edges.select("person_id").distinct(), "person_id", "left_semi").select("person_id", "cap", *flags).collect()  # at most as many as edges
-    cap, pools = {r.person_id: r.cap for r in rows}, {f: {r.person_id for r in rows if r[f]} for f in flags}
+    rows = people.join(edges.select("person_id").distinct(), "person_id", "left_semi").select("person_id", "cap", *FLAGS).collect()  # at most as many as edges
+    cap, pools = {r.person_id: r.cap for r in rows}, {f: {r.person_id for r in rows if r[f]} for f in FLAGS}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         live = list(group[["paper_id", "person_id", "score", "gated"]].itertuples(index=False, name=None))
@@ -251,6 +258,63 @@ def assign(edges: DataFrame, people: DataFrame, policy: Policy = Policy(), mode:
     return edges.select("paper_id", "person_id", "score", "gated").groupBy(F.lit("all").alias("g")).applyInPandas(run, f"paper_id {kinds['paper_id']}, person_id {kinds['person_id']}, score double, phase string")
 
 
+def assign_of(scored: Scored, gated: Scored, people: DataFrame, policy: Policy = Policy(), mode: str = "sequential") -> DataFrame:
+    """assign() over pairs in blocks, of any size: each step of LADDER, and each round of surplus, is solved by offers_of() or
+    rounds_of() over what the earlier ones left. gated: those of scored that are in the area; people as for assign()."""
+    solve = {"greedy": rounds_of, "sequential": offers_of}[mode]
+    spark = scored.papers.sparkSession
+    home, names = shared_path(spark, "assign"), count(1)
+    kept = lambda df: (lambda path: (df.write.parquet(path), spark.read.schema(df.schema).parquet(path))[1])(f"{home}/{next(names)}")
+    people = kept(people.select("person_id", "cap", *[F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS]))
+    papers = kept(scored.papers.select("paper_id").distinct())
+    members = kept(people.select("person_id", F.explode(F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("junior", "out_of_area")]))).alias("class_id")))
+    limits = spark.createDataFrame([("junior", None, policy.max_juniors), ("out_of_area", None, policy.max_out_of_area)], f"class_id string, paper_id {scored.kinds[0]}, most int")
+    p, r = scored.kinds
+    picks = spark.createDataFrame([], f"paper_id {p}, person_id {r}, score double, phase string")
+
+    def step(name: str, targets: DataFrame, who: DataFrame, area: bool, limited: bool) -> DataFrame:
+        """picks and what the step adds for papers with a target above zero."""
+        used = picks.groupBy("person_id").agg(F.count("*").alias("_n"))
+        room = kept(who.join(used, "person_id", "left").select("person_id", (F.col("cap") - F.coalesce("_n", F.lit(0))).alias("cap")).where("cap > 0"))
+        targets = kept(targets.where("target > 0"))
+        if targets.isEmpty() or room.isEmpty():
+            return picks
+        taken = targets.select("paper_id").join(picks.groupBy("paper_id").agg(F.collect_list("person_id").alias("skip")), "paper_id", "left")
+        held = picks.join(members, "person_id").groupBy("class_id", "paper_id").agg(F.count("*").alias("n"))
+        got = solve((gated if area else scored).of(taken), targets, room, *((members, limits, kept(held)) if limited else ()))
+        return kept(picks.unionByName(got.withColumn("phase", F.lit(name))))
+
+    for name, goal, pool, area, limited in LADDER:
+        most = policy.per_paper if goal == "whole" else min(policy.min_seniors, policy.per_paper)
+        has = picks.groupBy("paper_id").agg(F.count("*").alias("_n"))
+        targets = papers.join(has, "paper_id", "left").select("paper_id", (F.lit(most) - F.coalesce("_n", F.lit(0))).alias("target"))
+        picks = step(name, targets, people.where(F.col(pool)) if pool else people, area, limited)
+    for k in range(policy.surplus):
+        means = picks.groupBy("paper_id").agg(F.avg("score").alias("mean"), F.count("*").alias("n")).where(F.col("n") == policy.per_paper + k)
+        used = picks.groupBy("person_id").agg(F.count("*").alias("_n"))
+        room = people.join(used, "person_id", "left").agg(F.sum(F.greatest(F.col("cap") - F.coalesce("_n", F.lit(0)), F.lit(0)))).first()[0] or 0
+        able = kept(_lowest(means, room, kept).select("paper_id"))
+        before = picks
+        for name, area in (("surplus", True), ("surplus (area released)", False)):
+            served = picks.groupBy("paper_id").agg(F.count("*").alias("_n"))
+            picks = step(name, able.join(served, "paper_id").select("paper_id", (F.lit(policy.per_paper + k + 1) - F.col("_n")).alias("target")), people, area, True)
+        if picks.count() == before.count():
+            break
+    return picks
+
+
+def _lowest(means: DataFrame, n: int, kept) -> DataFrame:
+    """The n papers of least mean, of equals the least paper_id; numbered over ranges, so that no task sees all."""
+    if means.count() <= n:
+        return means
+    order = ["mean", "paper_id"]
+    rows = kept(means.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each range
+    start = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_start")
+    return rows.join(F.broadcast(start), "_part").withColumn("_at", at).where(F.col("_at") <= n)
+
+
 def load_pins(baseline: DataFrame, pinned: DataFrame, papers: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(baseline pairs of pinned people that still stand, pairs dropped with why)."""
     rows = baseline.join(pinned.select("person_id").distinct(), "person_id", "left_semi")
