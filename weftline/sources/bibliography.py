@@ -21,6 +21,7 @@ SCHEMA = "kind string, key string, fields array<struct<name:string,type:string,t
 _FIELD = pa.struct([("name", pa.string()), ("type", pa.string()), ("text", pa.string())])
 ARROW = pa.schema([("kind", pa.string()), ("key", pa.string()), ("fields", pa.list_(_FIELD))])
 BLOCK, RANGE, ROWS = 1 << 20, 64 << 20, 2_000
+TASKS = 4_096  # ranges of a dump, above which they get longer
 XML_OWN = {b"amp", b"lt", b"gt", b"quot", b"apos"}
 
 
@@ -45,38 +46,40 @@ def cut(read: Callable[[int], bytes], start: int, end: float, kinds: tuple[str,
     """
     opens = re.compile(rb"<(" + b"|".join(k.encode() for k in kinds) + rb")(?=[\s/>])")
     longest = max(map(len, kinds)) + 2
-    held, at, more = b"", start, True
+    # held is the file from byte at on; what lies before place has been seen. It is cut only when a block is read, so that
+    # a record costs its own bytes, not the block's.
+    held, at, place, more = b"", start, 0, True
     while True:
-        found = opens.search(held)
+        found = opens.search(held, place)
         if found is None:
-            drop = max(0, len(held) - longest)
-            held, at = held[drop:], at + drop
-            if not more or at >= end:
+            place = max(place, len(held) - longest)
+            if not more or at + place >= end:
                 return
             piece = read(block)
             more = bool(piece)
-            held += piece
+            held, at, place = held[place:] + piece, at + place, 0
             continue
         if at + found.start() >= end:
             return
-        held, at = held[found.start():], at + found.start()
-        close, seen, parts, size = b"</" + found[1] + b">", 0, bytearray(held), 0
-        while True:
-            head = parts.find(b">")
-            if head >= 0 and parts[head - 1 : head] == b"/":
-                size = head + 1
+        place = found.start()
+        close, seen, size = b"</" + found[1] + b">", place, 0
+        while not size:
+            head = held.find(b">", place)
+            if head >= 0 and held[head - 1 : head] == b"/":
+                size = head + 1 - place
                 break
-            found_at = parts.find(close, seen)
+            found_at = held.find(close, seen)
             if found_at >= 0:
-                size = found_at + len(close)
+                size = found_at + len(close) - place
                 break
-            seen = max(0, len(parts) - len(close))
-            piece = read(block)
+            held, at, seen, place = held[place:], at + place, max(0, len(held) - place - len(close)), 0
+            # A record longer than a block reads as much again as it has, so that long ones are not copied over and over.
+            piece = read(max(block, len(held)))
             if not piece:
                 raise ValueError(f"the record at byte {at} does not end")
-            parts += piece
-        yield at, bytes(parts[:size])
-        held, at = bytes(parts[size:]), at + size
+            held += piece
+        yield at + place, held[place : place + size]
+        place += size
 
 
 def parsed(record: bytes, encoding: str) -> tuple[str, str | None, list[dict]]:
@@ -119,11 +122,13 @@ class DumpReader(DataSourceReader):
         info = store.get_file_info(path)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
         out = []
-        for f in sorted((f for f in files if f.type == fs.FileType.File and f.base_name[0] not in "._" and f.size), key=lambda f: f.path):
+        files = sorted((f for f in files if f.type == fs.FileType.File and f.base_name[0] not in "._" and f.size), key=lambda f: f.path)
+        size = max(self.range, sum(f.size for f in files) // TASKS)
+        for f in files:
             with store.open_input_stream(f.path) as s:
                 encoding = declared_encoding(s.read(200))
             packed = f.path.endswith((".gz", ".bz2", ".zst"))
-            out += [Range(f.path, 0, float("inf"), encoding)] if packed else [Range(f.path, k, min(k + self.range, f.size), encoding) for k in range(0, f.size, self.range)]
+            out += [Range(f.path, 0, float("inf"), encoding)] if packed else [Range(f.path, k, min(k + size, f.size), encoding) for k in range(0, f.size, size)]
         return out or [Range("", 0, 0, "utf-8")]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -137,7 +142,7 @@ class DumpReader(DataSourceReader):
             stream = store.open_input_file(part.path)
             stream.seek(part.start)
         with stream:
-            for at, record in cut(stream.read, part.start, part.end, self.kinds):
+            for at, record in cut(stream.read, part.start, part.end, self.kinds, min(BLOCK, max(1 << 16, self.range))):
                 try:
                     kind, key, fields = parsed(record, part.encoding)
                 except (ElementTree.ParseError, ValueError) as error:
@@ -151,7 +156,7 @@ class DumpReader(DataSourceReader):
 
 
 class Dump(DataSource):
-    """Options: path; kinds, separated by commas; range, the bytes of a task."""
+    """Options: path; kinds, separated by commas; range, the bytes of a task (more where a dump would have over TASKS)."""
 
     @classmethod
     def name(cls) -> str:
