@@ -98,10 +98,14 @@ with l as (select l_orderkey, l_suppkey, year(o_orderdate) y from lineitem join
 s as (select a.l_suppkey a, b.l_suppkey b, count(distinct a.l_orderkey) shared, max(a.y) latest_year from l a join l b using (l_orderkey) where a.l_suppkey < b.l_suppkey group by 1, 2)
 select a, b, shared, latest_year from s where shared >= 3""")
 def coauthor_pairs(t):
+    lines = t("lineitem").select("l_orderkey", "l_suppkey")
+    # Tasks by rows, as an aggregation holds all pairs of its task, of which few are equal.
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() // 1_000_000)
     years = t("orders").where(F.year("o_orderdate") >= 1997).select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y"))
-    rows = t("lineitem").select("l_orderkey", "l_suppkey").distinct().join(years, "l_orderkey")
+    rows = lines.repartition(parts, "l_orderkey").join(years, "l_orderkey").distinct()
     both = rows.alias("l").join(rows.select("l_orderkey", F.col("l_suppkey").alias("b")).alias("r"), "l_orderkey").where(F.col("l_suppkey") < F.col("b"))
-    return both.groupBy(F.col("l_suppkey").alias("a"), "b").agg(F.count("*").alias("shared"), F.max("y").alias("latest_year")).where("shared >= 3")
+    each = both.select(F.col("l_suppkey").alias("a"), "b", "y").repartition(parts, "a", "b")
+    return each.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("y").alias("latest_year")).where("shared >= 3")
 
 
 @query("""
