@@ -192,6 +192,7 @@ def _count(blobs: list[bytes], window: int, minimiser: int, memory: int, group_b
     distinct = np.unique(owner)
     left = np.bincount(kind[distinct], minlength=len(times)) > 1
     distinct = distinct[left[kind[distinct]]]
+    distinct = distinct[_beside(data, starts[distinct] + records["offset"][distinct], starts[distinct], (starts + sizes)[distinct], window, minimiser)]
     distinct = distinct[np.argsort(kind[distinct], kind="stable")]
     # Groups of whole minimisers, each about group_bytes, so that the columns stay in the processor's cache.
     ends = np.cumsum(sizes[distinct])
@@ -209,6 +210,18 @@ def _count(blobs: list[bytes], window: int, minimiser: int, memory: int, group_b
     return np.concatenate(cuts)
 
 
+def _beside(data: np.ndarray, at: np.ndarray, starts: np.ndarray, stops: np.ndarray, window: int, minimiser: int) -> np.ndarray:
+    """Which strings can share a window with another. Shared windows have their minimisers, which stand at at, one over the
+    other, so that half of what a window holds beside it is equal on one side at least: others need no transform."""
+    half = (window - minimiser + 1) // 2
+    out = np.zeros(len(at), dtype=bool)
+    for lo, hi in ((at - half, at + minimiser), (at, at + minimiser + half)):
+        fits = np.flatnonzero((lo >= starts) & (hi <= stops))
+        _, same, times = np.unique(_rolling.of_slices(data, lo[fits], hi[fits]), return_inverse=True, return_counts=True)
+        out[fits[times[same] > 1]] = True
+    return out
+
+
 def _cuts(records: np.ndarray, of: np.ndarray, start: np.ndarray, stop: np.ndarray, merge: bool = False) -> np.ndarray:
     """Cuts of runs, in each run's own bytes; merge: join those of neighbouring windows."""
     if merge and len(of):
