@@ -85,6 +85,35 @@ def test_a_large_family_makes_few_pairs(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == slow_kept(rows)
 
 
+def test_texts_about_a_family_are_not_paired_with_all_of_it(spark, monkeypatch):
+    """Half of 500 texts have too many edits for a link to the others: neither the rows in cells nor the pairs to verify grow with the square."""
+    rng, made = random.Random(5), {}
+    base, keep = [f"w{i}" for i in range(150)], jaccard.materialize
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(8)):
+            words[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    crossing = jaccard._crossing
+
+    def counted(met, roots, share):
+        members, cells = crossing(met, roots, share)
+        made["cells"] = cells.count()
+        return members, cells
+
+    def kept(df, tag):
+        made[tag] = (out := keep(df, tag)).count()
+        return out
+
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "_crossing", counted)
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == slow_kept(rows)
+    assert made["likely"] < 4 * len(rows) and made["cells"] < 4 * made["members"]
+
+
 def test_odd_rows(spark):
     """Null ids, rows that repeat, ids that repeat with other texts, and columns with clashing names."""
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (None, "g h i j k l"), (6, "m n o p q r"), (6, "m n o p q r"), (6, "s t u v w x"), (7, None), (3, ""), (None, " ")]

@@ -7,9 +7,12 @@ first n - ceil(s n) + 1 shingles of each, so only these prefixes travel, as pack
 and no pair is missed whatever the order. Pairs are counted over all shared prefix shingles: the prefix that ends first
 lies wholly within what the other one shows, so a pair with too few matches in it cannot reach s.
 
-A shingle that more than ``SMALL`` sets show does not make all their pairs. First only sets next to each other by size
-are paired and verified, with SimHash's candidates; then the pairs of sets that are not in one component yet. So a
-family of m near copies costs some m pairs, and no link between components is lost.
+A shingle that more than ``SMALL`` sets show does not make all their pairs. First only sets next to each other by size,
+and each set with the one of about its size that has the fewest rare shingles, are paired and verified, with SimHash's
+candidates; then the pairs of sets that are not in one component yet. So a family of m near copies costs some m pairs,
+and no link between components is lost. A set goes no further that shares fewer shingles with all others together than
+any of them would have to share with it; the others meet with all the frequent shingles of a family in one cell, where
+a pair's matches are counted at once, so that only pairs with enough of them leave it.
 
 Which shingles are frequent comes from a sample and bears on the cost alone.
 """
@@ -32,8 +35,8 @@ from weftline.llm.minimisers import pack, unpack
 SHINGLE, SHARE, SEED = 5, 0.8, 42
 SAMPLE, OFTEN, FREQUENT = 32, 3, 250_000
 PAIRS, SEEN, SMALL, BLOCK = 1 << 20, 1 << 18, 16, 64
-#: One shingle of a prefix: its hash, its set's signature and size.
-SHOWN = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4")])
+#: One shingle of a prefix: its hash, its set's signature and size, and how many shingles of the prefix are not frequent.
+SHOWN = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("rare", "<i4")])
 PAIR, NEXT, MEMBER = 0, 1, 2
 
 
@@ -65,6 +68,12 @@ def prefix(n: np.ndarray, share: float) -> np.ndarray:
     return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
 
 
+def least_matches(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """The matches within their prefixes that sets of a and b shingles need for the share."""
+    o = need(a, b, share)
+    return np.minimum(o - a + prefix(a, share), o - b + prefix(b, share))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The distinct (signature, set) of a task, in pieces; one that comes again much later may be repeated."""
     seen: set[int] = set()
@@ -145,18 +154,21 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarra
 def _met(shown: np.ndarray, share: float) -> Iterator[pa.RecordBatch]:
     """What the prefix shingles of one bucket say; a MEMBER row has the shingle as a and the set as b."""
     shown = shown[np.lexsort((shown["sig"], shown["n"], shown["key"]))]
-    key, sig, n = shown["key"], shown["sig"], shown["n"].astype(np.int64)
+    key, sig, n, rare = shown["key"], shown["sig"], shown["n"].astype(np.int64), shown["rare"]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-    key, sig, n = key[new], sig[new], n[new]
+    key, sig, n, rare = key[new], sig[new], n[new], rare[new]
     starts, sizes = _runs(key)
     few = (sizes > 1) & (sizes <= SMALL)
     yield from _counted(PAIR, _all_pairs(starts[few], sizes[few]), sig, n, share)
     many = sizes > SMALL
     if many.any():
         at = ragged(starts[many], sizes[many])
-        for step in (1, 2):
-            left = ragged(starts[many], sizes[many] - step)
-            yield from _counted(NEXT, iter([(left, left + step)]), sig, n, share)
+        left = ragged(starts[many], sizes[many] - 1)
+        yield from _counted(NEXT, iter([(left, left + 1)]), sig, n, share)
+        band = np.floor(np.log(n[at]) / np.log(1.12)).astype(np.int64)
+        order = np.lexsort((sig[at], rare[at], band, key[at]))  # the key's least rare set of a band is the same one at most keys
+        firsts, count = _runs(np.cumsum(np.concatenate([[True], (key[at][order][1:] != key[at][order][:-1]) | (band[order][1:] != band[order][:-1])])))
+        yield from _counted(NEXT, iter([(at[order][np.repeat(firsts, count - 1)], at[order][ragged(firsts + 1, count - 1)])]), sig, n, share)
         yield _rows(MEMBER, key[at].view(np.int64), sig[at], n[at], n[at], np.ones(len(at)))
 
 
@@ -167,13 +179,15 @@ def prefixes_met(texts: DataFrame, *, shingle: int = SHINGLE, share: float = SHA
     @tidied
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _sets(batches, shingle):
-            keys = []
+            keys, rare = [], []
             for _, found in sets:
                 last = np.isin(found, frequent, assume_unique=True) if len(frequent) else np.zeros(len(found), dtype=bool)
                 keys.append(np.concatenate([found[~last], found[last]])[: int(prefix(np.int64(len(found)), share))])
+                rare.append(min(len(keys[-1]), int((~last).sum())))
             sizes = [len(x) for x in keys]
             shown = np.empty(sum(sizes), dtype=SHOWN)
             shown["key"], shown["sig"], shown["n"] = np.concatenate(keys), np.repeat(np.array([s for s, _ in sets], dtype=np.int64), sizes), np.repeat([len(x) for _, x in sets], sizes)
+            shown["rare"] = np.repeat(rare, sizes)
             bucket = (mix(shown["key"]) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             shown, (starts, n) = shown[order], _runs(bucket[order])
@@ -252,8 +266,7 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, *, shingle:
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, c = (x.to_numpy() for x in batch.columns)
-            o = need(na, nb, share)
-            fits = c >= np.minimum(o - na + prefix(na, share), o - nb + prefix(nb, share))
+            fits = c >= least_matches(na, nb, share)
             yield pa.RecordBatch.from_arrays([pa.array(a[fits]), pa.array(b[fits])], names=["a", "b"])
 
     def likely_of(met: DataFrame) -> DataFrame:
@@ -270,33 +283,9 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, *, shingle:
     release(first)
     roots = materialize(components(near), "roots")
 
-    @tidied
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of members in one cell that have different roots, and blocks where a cell has two; rows come sorted by cell and root."""
-        for key, root, sig, n, block, two in _whole_runs(batches):
-            starts, sizes = _runs(key)
-            stops = np.repeat(starts + sizes, sizes)
-            firsts, count = _runs(key if not len(key) else np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])])))
-            ahead = np.repeat(firsts + count, count)  # the next root's first place
-            later = stops - ahead
-            ends, lo = np.cumsum(later), 0
-            while lo < len(key):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-                left, right = np.repeat(np.arange(lo, hi), later[lo:hi]), ragged(ahead[lo:hi], later[lo:hi])
-                wanted = (two[left] == 0) | (block[left] != block[right])
-                yield from _counted(PAIR, iter([(left[wanted], right[wanted])]), sig, n, share)
-                lo = hi
-
-    by_root = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sig"), F.col("na").cast("long").alias("n"))
-    members = materialize(by_root.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", F.coalesce("root", "sig").alias("root"), "sig", "n"), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high")
-    # A shingle of one component has no pair to find. The members of the others stand in blocks, and each two blocks, or
-    # one with itself, meet in a cell, so that no shingle's pairs are made by one task.
-    by_root = members.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks"))
-    by_root = by_root.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    by_root = by_root.select(cell.alias("cell"), "root", "sig", "n", "block", (F.col("block") != F.col("other")).cast("long").alias("two"))
-    crossing = by_root.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(across, PAIR_ROWS)
+    members, cells = _crossing(met, roots, share)
+    order = ["cell", "sig", "key", "root", "n", "hot", "beside", "block", "two"]
+    crossing = cells.select(*order).repartition("cell").sortWithinPartitions("cell", "sig").mapInArrow(tidied(lambda batches: _across(batches, share)), PAIR_ROWS)
     likely = likely_of(met.where(F.col("kind") == PAIR).unionByName(crossing))
     for end in "ab":
         likely = likely.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
@@ -307,6 +296,66 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, *, shingle:
     return near.unionByName(more)
 
 
+def _crossing(met: DataFrame, roots: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(members, cells): sets under frequent shingles, and those of them that can have a link to another component, in cells.
+
+    No two sets have more matches than the frequent shingles of one and the most that it has with any set in the others.
+    Who has fewer than the sizes under a shingle ask for is not needed there. Frequent shingles whose most common component
+    is the same make a family; its sets stand in blocks, and each two blocks, or one with itself, meet in a cell, but for
+    two of that component.
+    """
+    hot = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sig"), F.col("na").cast("long").alias("n"))
+    few = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    beside = few.select(F.explode(F.array("a", "b")).alias("sig"), "c").groupBy("sig").agg(F.max("c").alias("beside"))
+    known = hot.groupBy("sig").agg(F.count("*").alias("hot")).join(beside, "sig", "left").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    known = known.select("sig", "hot", F.coalesce("beside", F.lit(0)).alias("beside"), F.coalesce("root", "sig").alias("root"))
+    members = materialize(hot.join(known, "sig"), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")).where("low <> high")
+    # need() less what is outside the prefixes, before rounding up: it falls with the distance of the sizes.
+    asked = lambda other: share / (1 + share) * (F.col("n") + other) - share * F.greatest(F.col("n"), other)
+    lower, upper = F.greatest(F.col("least"), share * F.col("n")), F.least(F.col("most"), F.col("n") / share)
+    able = members.join(mixed.select("key", "least", "most"), "key").where(F.col("hot") + F.col("beside") >= F.least(asked(lower), asked(upper)) - 1e-6)
+    able = materialize(able.select("key", "sig", "n", "root", "hot", "beside"), "able")
+    big = able.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("all"), F.max(F.struct("count", "root")).alias("big")).where("big.count < all")
+    family = F.when((F.col("all") > BLOCK) & (4 * F.col("big.count") >= F.col("all")), F.xxhash64(F.lit("root"), "big.root")).otherwise(F.xxhash64(F.lit("key"), "key"))
+    placed = able.join(big.select("key", family.alias("family"), F.col("big.root").alias("big")), "key").withColumn("most", F.col("root") == F.col("big"))
+    counted = placed.select("family", "sig", "most").distinct().groupBy("family").agg(F.count_if("most").alias("g"), F.count_if(~F.col("most")).alias("r"))
+    ceil = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    one = F.col("g") + F.col("r") <= BLOCK
+    counted = counted.select("family", F.when(one, 0).otherwise(ceil("g")).cast("long").alias("g"), F.when(one, 1).otherwise(ceil("r")).cast("long").alias("r"))
+    placed = placed.join(counted, "family").withColumn("most", F.col("most") & (F.col("g") > 0))
+    placed = placed.withColumn("block", F.when(F.col("most"), F.pmod(F.xxhash64("sig"), F.greatest("g", F.lit(1)))).otherwise(F.col("g") + F.pmod(F.xxhash64("sig"), "r")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("most"), F.col("g")).otherwise(F.lit(0).cast("long")), F.col("g") + F.col("r") - 1)))
+    cell = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    return members, placed.select(cell, "sig", "key", "root", "n", "hot", "beside", "block", (F.col("block") != F.col("other")).cast("long").alias("two"))
+
+
+def _across(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Pairs in one cell that have different roots, and blocks where a cell has two, with their matches there, unless those and
+    all that they may have elsewhere are too few. Rows come sorted by cell and sig."""
+    for columns in _whole_runs(batches):
+        starts, sizes = _runs(columns[0])
+        for at, size in zip(starts.tolist(), sizes.tolist()):
+            _, sig, key, *_ = cell = [x[at : at + size] for x in columns]
+            firsts, count = _runs(sig)
+            sig, _, root, n, hot, beside, block, two = (x[firsts] for x in cell[1:])
+            who, what = np.repeat(np.arange(len(firsts)), count), np.unique(key, return_inverse=True)[1]
+            common = np.zeros((len(sig), len(sig)), dtype=np.float32)
+            for lo in range(0, int(what.max()) + 1, 1 << 12):
+                here = (what >= lo) & (what < lo + (1 << 12))
+                shows = np.zeros((len(sig), min(1 << 12, int(what.max()) + 1 - lo)), dtype=np.float32)
+                shows[who[here], what[here] - lo] = 1
+                common += shows @ shows.T
+            left, right = np.nonzero(np.triu(common, 1))
+            wanted = (root[left] != root[right]) & ((two[left] == 0) | (block[left] != block[right]))
+            left, right = _fit(left[wanted], right[wanted], n, share)
+            c, elsewhere = common[left, right].astype(np.int64), hot - count
+            enough = c + np.minimum(elsewhere[left], elsewhere[right]) + np.minimum(beside[left], beside[right]) >= least_matches(n[left], n[right], share)
+            left, right, c = left[enough], right[enough], c[enough]
+            if len(left):
+                yield _rows(PAIR, sig[left], sig[right], n[left], n[right], c)  # sigs ascend
+
+
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of rows sorted by the first one, in pieces that never part a run of it."""
     held: list[list[np.ndarray]] = []
