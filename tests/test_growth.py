@@ -8,6 +8,7 @@ import time
 from itertools import product
 
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from weftline.operators import conflicts
 from weftline.plans.catalogue import QUERIES
@@ -58,3 +59,31 @@ def test_only_names_that_match_meet(spark):
         assert conflicts._met(known(left), known(right).withColumnRenamed("tokens", "their_tokens"), least).count() == n
         got = conflicts.coauthor_conflicts(left, right, least=least).collect()
         assert {(r.paper_id, r.person_id): (r.match != "exact", -r.shared, -r.latest_year, r.author) for r in got} == {k: v[:4] for k, v in want.items()} and len(got) == len(want)
+
+
+def test_conflicts_of_equal_names_are_compared_as_a_block(spark, monkeypatch):
+    """Names that many share are compared once, and the pairs are those of each person with each author, in any number of tasks."""
+    people = [(r, ["a", f"n{r % 3}"], [["a", f"n{r % 2}"]], [str(r % 4)] if r % 5 else None) for r in range(60)]
+    authors = [(p % 70, p, ["a", f"n{p % 4}"], [["a", f"n{p % 3}"]], [str(p % 5), None]) for p in range(90)]
+    left = spark.createDataFrame(people, "person_id long, tokens array<string>, declared array<array<string>>, institutions array<string>")
+    right = spark.createDataFrame(authors, "paper_id long, author long, tokens array<string>, declared array<array<string>>, institutions array<string>")
+    want: dict = {}
+    for (r, mine, declared, inst), (p, _, tokens, theirs, places) in product(people, authors):
+        found = [(0, " ".join(x)) for x in declared if x == tokens] + [(1, " ".join(x)) for x in theirs if x == mine] + [(2, x) for x in inst or () if x in places]
+        if found:
+            want[p, r] = min([*found, *([want[p, r]] if (p, r) in want else [])])
+    kinds = ("person_declared", "author_declared", "institution")
+    met = []
+    for block, dealt in ((1024, 1 << 25), (7, 40)):
+        monkeypatch.setattr(conflicts, "BLOCK", block)
+        monkeypatch.setattr(conflicts._dealt_join, "__kwdefaults__", {"dealt": dealt})
+        got = conflicts.collaborator_conflicts(left, right).collect()
+        assert {(x.paper_id, x.person_id): (kinds.index(x.kind), x.evidence) for x in got} == want and len(got) == len(want)
+        index = left.select("person_id", "tokens", *[F.lit(x).alias(c) for x, c in (("", "number"), (1, "shared"), (2000, "latest_year"), ("w", "latest_title"))])
+        names = right.select("paper_id", F.col("author").cast("string").alias("author"), "tokens", F.array().cast("array<string>").alias("numbers"))
+        got = conflicts.coauthor_conflicts(names, index).collect()
+        assert {(x.paper_id, x.person_id) for x in got} == {(a[0], x[0]) for x, a in product(people, authors) if x[1] == a[2]} and len({(x.paper_id, x.person_id) for x in got}) == len(got)
+        met.append(sorted(map(tuple, got)))
+    assert met[0] == met[1]
+    rows = conflicts._blocks(right.withColumn("tokens", F.array_sort("tokens")), ["paper_id", "author"], ["tokens"], "_l").collect()
+    assert sum(len(x._l) for x in rows) == 90 and max(len(x._l) for x in rows) < 90

@@ -6,6 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import homonym_number, token_pairs, token_set
+from weftline.session import checkpoint_dir
+
+BLOCK = 1024  # rows of one name in a block
+DEALT = 1 << 25  # pairs of one key that a task makes
+
+
+def _blocks(rows: DataFrame, of: list[str], names: list[str], block: str) -> DataFrame:
+    """A row for each block of rows that are equal in names: names, and as block an array of the columns of."""
+    sizes = rows.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in names], "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    dealt = rows.join(sizes, same).withColumn("_k", F.pmod(F.xxhash64(*of), F.col("_n")))
+    checkpoint_dir(rows.sparkSession)
+    return dealt.groupBy(*names, "_k").agg(F.collect_list(F.struct(*of)).alias(block)).drop("_k").checkpoint()
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, on: list[str], *, dealt: int = DEALT) -> DataFrame:
+    """The join of blocks (or rows) on equal keys, in tasks by the pairs that they stand for: where a key makes more than dealt,
+    its left blocks are dealt over several tasks and its right ones go to each of these."""
+    spark = left.sparkSession
+    size = lambda df, block: F.size(block).cast("double") if block in df.columns else F.lit(1.0)
+    sizes = left.groupBy(*on).agg(F.sum(size(left, "_l")).alias("_a")).join(right.groupBy(*on).agg(F.sum(size(right, "_r")).alias("_b")), on)
+    sizes = sizes.select(*on, F.ceil(F.col("_a") * F.col("_b") / dealt).alias("_parts"))
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on]), F.col("_parts"))
+    left = left.join(sizes, on).withColumn("_part", part).drop("_parts")
+    right = right.join(sizes, on).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    # Tasks by number, as few rows stand for many pairs and would be put together otherwise.
+    return left.repartition(parts, *on, "_part").join(right.repartition(parts, *on, "_part"), [*on, "_part"]).drop("_part")
+
+
+def _opened(met: DataFrame) -> DataFrame:
+    """The pairs that blocks _l and _r stand for, with the columns of both."""
+    rest = [c for c in met.columns if c not in ("_l", "_r")]
+    one = met.select(*rest, F.explode("_l").alias("_l"), "_r")
+    return one.select(*rest, "_l", F.explode("_r").alias("_r")).select(*rest, "_l.*", "_r.*")
 
 
 def coauthor_index(people: DataFrame, coauthorships: DataFrame, *, years: int, current_year: int) -> DataFrame:
@@ -57,20 +92,21 @@ def collaborator_conflicts(people: DataFrame, authors: DataFrame) -> DataFrame:
 
     people: person_id, tokens, declared (array of token sets), institutions (tokens); authors: paper_id, author and the same.
     """
-    # A pair is made at the least key of its first kind only, so that pairs are not shuffled to be told apart.
+    # A pair is made at the least key of its first kind only, so that pairs are not shuffled to be told apart; people, and
+    # authors, with the same names and institutions are compared as a block.
     joined = lambda names: F.transform(F.filter(names, lambda x: F.size(x) > 1), lambda x: F.array_join(x, " "))
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     sides = []
-    for rows, key, side in ((people, "person_id", "r"), (authors, "paper_id", "p")):
+    for rows, key, side, block in ((people, "person_id", "r", "_r"), (authors, "paper_id", "p", "_l")):
         names = rows.select(key, joined(F.array("tokens")).alias("n"), joined(F.col("declared")).alias("d"), F.array_compact("institutions").alias("i"))
-        sides.append(names.groupBy(key).agg(*[flat(c).alias(f"{side}_{c}") for c in "ndi"]))
+        sides.append(_blocks(names.groupBy(key).agg(*[flat(c).alias(f"{side}_{c}") for c in "ndi"]), [key], [f"{side}_{c}" for c in "ndi"], block))
     steps, every = (("r_d", "p_n", "person_declared"), ("r_n", "p_d", "author_declared"), ("r_i", "p_i", "institution")), None
     for k, (mine, theirs, kind) in enumerate(steps):
-        left, right = sides[0].withColumn("evidence", F.explode(mine)), sides[1].withColumn("evidence", F.explode(theirs))
-        met = left.join(right, "evidence").where(F.array_min(F.array_intersect(mine, theirs)) == F.col("evidence"))
+        right, left = sides[0].withColumn("evidence", F.explode(mine)), sides[1].withColumn("evidence", F.explode(theirs))
+        met = _dealt_join(left, right, ["evidence"]).where(F.array_min(F.array_intersect(mine, theirs)) == F.col("evidence"))
         for a, b, _ in steps[:k]:
             met = met.where(~F.arrays_overlap(a, b))
-        rows = met.select("paper_id", "person_id", F.lit(kind).alias("kind"), "evidence")
+        rows = _opened(met.select("evidence", "_l", "_r")).select("paper_id", "person_id", F.lit(kind).alias("kind"), "evidence")
         every = rows if every is None else every.unionByName(rows)
     return every
 
